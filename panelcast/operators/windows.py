@@ -304,9 +304,10 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     The aggregate combines before its shuffle, and adaptive execution broadcasts it when it turns
     out small or splits the skewed side of the join when it does not.
     """
-    per_group = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(per_group[k]) for k in keys])
-    return df.join(per_group, same, "left").select(*[df[c] for c in df.columns], *list(stats))
+    aliases = {k: f"__k_{k}" for k in keys}
+    per_group = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]).withColumnsRenamed(aliases)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(aliases[k])) for k in keys])
+    return df.join(per_group, same, "left").drop(*aliases.values())
 
 
 def events_in_period(df: DataFrame, spec: PanelSpec, side: str | None = None,
