@@ -1 +1,16 @@
-"""plans of panelcast."""
+"""Registered queries: the operators run on the given tables."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("windows", "features")
+
+
+def load():
+    """Import every module of registered queries and return the registry."""
+    from panelcast.plans import registry
+
+    for name in MODULES:
+        importlib.import_module(f"panelcast.plans.{name}_queries")
+    return registry
