@@ -100,7 +100,7 @@ def deadline_state(df: DataFrame, captures: DataFrame, ratings: DataFrame | None
     n = own_capture.agg(F.count("*").alias("__captured"))
     required = n.select(F.when(F.col("__captured") == 0, F.raise_error(F.lit(f"no capture for period {period_value}")))
                         .otherwise(F.lit(True)).alias("__ok"))
-    out = df.join(snap, entity, "left").join(covered, period, "left").join(required, F.col("__ok"), "inner")
+    out = df.join(snap, entity, "left").join(covered, period, "left").where(required.scalar())
     target = of_season & (F.col(period) == period_value)
     earlier = of_season & (F.col(period) < period_value) & F.col("__own").isNull()
     listed = F.coalesce(F.col("__listed"), F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "features")
+MODULES = ("windows", "features", "metrics")
 
 
 def load():
