@@ -39,10 +39,11 @@ def explain_terms(explain: str = "explain") -> dict[str, Column]:
     items = F.flatten(F.transform(F.coalesce(F.col(explain), F.array()), lambda e: F.coalesce(e["stats"], F.array())))
     terms = F.transform(items, lambda s: F.struct(
         term_of(s["identifier"]).alias("t"), F.coalesce(s["points"].cast("double"), F.lit(0.0)).alias("p")))
-    return {
-        f"act_{t}": F.aggregate(F.filter(terms, lambda x, t=t: x["t"] == t), F.lit(0.0), lambda a, x: a + x["p"])
-        for t in ACTUAL_TERMS
-    }
+
+    def total(term: str) -> Column:
+        return F.aggregate(F.filter(terms, lambda x: x["t"] == term), F.lit(0.0), lambda a, x: a + x["p"])
+
+    return {f"act_{t}": total(t) for t in ACTUAL_TERMS}
 
 
 def term_totals(rows: DataFrame, keys: Sequence[str], term: Column, points: Column) -> DataFrame:

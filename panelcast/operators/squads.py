@@ -71,10 +71,14 @@ def auto_subs(picks: DataFrame, by: Sequence[str], entity: str = "entity", slot:
                     (F.coalesce(F.col(minutes), F.lit(0)) > 0).alias("on"))
     squads = picks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__p"))
     starters = F.filter("__p", lambda p: p["slot"] <= 11)
+
+    def started_at(place: str) -> Column:
+        return F.size(F.filter(starters, lambda p: p["pos"] == place))
+
     squads = squads.select(
         *by, F.filter(starters, lambda p: ~p["on"]).alias("__out"),
         F.filter("__p", lambda p: (p["slot"] > 11) & p["on"]).alias("__bench"),
-        *[F.size(F.filter(starters, lambda p, q=q: p["pos"] == q)).alias(f"__{q}") for q in LEAST],
+        *[started_at(q).alias(f"__{q}") for q in LEAST],
     )
     swaps = F.array().cast("array<struct<out_entity:bigint,in_entity:bigint>>")
     start = F.struct(swaps.alias("swaps"), *[F.col(f"__{q}").alias(q) for q in LEAST])
