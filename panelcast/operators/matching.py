@@ -46,7 +46,7 @@ def _prefix(text: Column, least: float) -> Column:
     `least` is m * least / (2 - least), so o is at least that much, and m - o + 1 characters suffice.
     """
     tokens = _characters(text)
-    weight = F.array_sort(F.transform(tokens, lambda t: F.struct(F.locate(F.substring(t, 1, 1), F.lit(COMMON_LAST)).alias("w"), t.alias("t"))))
+    weight = F.array_sort(F.transform(tokens, lambda t: F.struct(F.position(F.substring(t, 1, 1), F.lit(COMMON_LAST)).alias("w"), t.alias("t"))))
     need = F.ceil(F.length(text) * F.lit(least / (2 - least)) - 1e-9)
     keep = F.greatest(F.length(text) - need + 1, F.lit(1)).cast("int")
     return F.transform(F.slice(weight, 1, keep), lambda x: x["t"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "features", "metrics", "scoring", "panel", "pit", "odds", "squads")
+MODULES = ("windows", "features", "metrics", "scoring", "panel", "pit", "odds", "squads", "io", "priors", "models")
 
 
 def load():

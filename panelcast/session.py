@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = 8, name: str = "panelcast", memory: str = "12g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -26,14 +28,16 @@ def local_session(cpus: int | str = 8, name: str = "panelcast", memory: str = "1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; a temporary one is set only in local mode when it is unset."""
+    """The folder in `spark.checkpoint.dir`; in local mode a temporary one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set; name a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="panelcast-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; name a folder all executors can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="panelcast-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
