@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelcast.spec import PanelSpec
@@ -39,7 +39,8 @@ class Lagged:
     col: str
     kind: str                                     # rolling | expanding | nth
     size: int = 0
-    stat: str | Callable[[Column], Column] = "mean"
+    # A name, or a function of (column, window frame) for anything composed of several aggregates.
+    stat: str | Callable[[Column, WindowSpec], Column] = "mean"
     min_periods: int = 1
 
     def collapsible(self) -> bool:
@@ -113,12 +114,9 @@ def as_of_previous_period(
     return df.select(*keep, *[F.last(closing[n]).over(before).alias(n) for n in names])
 
 
-def _stat(lag: Lagged) -> Callable[[Column], Column]:
-    return STATS[lag.stat] if isinstance(lag.stat, str) else lag.stat
-
-
-def _gated(lag: Lagged, frame) -> Column:
-    value = _stat(lag)(F.col(lag.col)).over(frame)
+def _gated(lag: Lagged, frame: WindowSpec) -> Column:
+    c = F.col(lag.col)
+    value = STATS[lag.stat](c).over(frame) if isinstance(lag.stat, str) else lag.stat(c, frame)
     if lag.min_periods > 1 or lag.stat == "count":
         value = F.when(F.count(lag.col).over(frame) >= lag.min_periods, value)
     return value
@@ -137,10 +135,11 @@ def _direct(df: DataFrame, spec: PanelSpec, lags: list[Lagged]) -> DataFrame:
             inclusive[x.name] = F.lag(x.col, x.size - 1).over(rows) if x.size > 1 else F.col(x.col)
     names = [x.name for x in lags]
     keep = df.columns
-    if to_date:
-        df = df.select(*keep, *[_gated(x, earlier).alias(x.name) for x in to_date])
+    # The row order of the inclusive values also serves the coarser order of the to-date frame: one sort.
     if inclusive:
         df = as_of_previous_period(df, inclusive, spec)
+    if to_date:
+        df = df.select(*df.columns, *[_gated(x, earlier).alias(x.name) for x in to_date])
     return df.select(*keep, *names)
 
 
