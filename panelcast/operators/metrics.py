@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.ranks import add_rank
+from panelcast.operators.ranks import add_rank, rank_strategy
+from panelcast.session import materialise
 
 PRED, ACTUAL = "prediction", "actual"
 
@@ -37,6 +38,7 @@ def spearman(df: DataFrame, by: Sequence[str], actual: str = ACTUAL, pred: str =
              name: str = "rho", least: int = 3, strategy: str = "auto") -> DataFrame:
     """Per group: Pearson on average ranks over rows where both are known, and the row count."""
     rows = df.where(F.col(actual).isNotNull() & F.col(pred).isNotNull()).select(*by, actual, pred)
+    strategy = rank_strategy(rows, by, strategy)
     rows = add_rank(rows, by, actual, "__ra", "average", strategy=strategy)
     rows = add_rank(rows, by, pred, "__rp", "average", strategy=strategy)
     varied = (F.min("__ra") < F.max("__ra")) & (F.min("__rp") < F.max("__rp"))
@@ -74,10 +76,11 @@ def score_periods(preds: DataFrame, by: Sequence[str] = ("model", "season", "per
                   event: str = "event", position: str = "position", strategy: str = "auto") -> DataFrame:
     """One row of metrics per model and period, for all of them at once.
 
-    A row without a prediction is not a prediction of zero; it is left out.
+    A row without a prediction is not a prediction of zero; it is left out. The summed grain feeds five
+    aggregates, so it is written once to the shared folder and the predictions behind it run once.
     """
     by = list(by)
-    grain = to_period_grain(preds.where(F.col(PRED).isNotNull()), [*by, entity], event, position)
+    grain = materialise(to_period_grain(preds.where(F.col(PRED).isNotNull()), [*by, entity], event, position), "grain")
     errors = grain.groupBy(*by).agg(
         F.count("*").alias("n"), mae(ACTUAL, PRED).alias("mae"), rmse(ACTUAL, PRED).alias("rmse")
     )

@@ -24,11 +24,17 @@ def add_rank(
     if method not in ("min", "average"):
         raise ValueError(f"unknown rank method {method!r}")
     by = list(by)
-    if strategy == "auto":
-        strategy = "buckets" if largest_group(df, by) > hot_rows else "direct"
+    strategy = rank_strategy(df, by, strategy, hot_rows)
     return (_bucketed if strategy == "buckets" else _direct)(df, by, value, name, method, descending)
 
 
+def rank_strategy(df: DataFrame, by: Sequence[str], strategy: str = "auto", hot_rows: int = HOT_ROWS) -> str:
+    """Settle "auto" by the largest group, so several ranks over the same groups ask once."""
+    if strategy == "auto":
+        return "buckets" if largest_group(df, by) > hot_rows else "direct"
+    return strategy
+
+
 def _direct(df, by, value, name, method, descending):
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     rank = F.rank().over(Window.partitionBy(*by).orderBy(order)).cast("double")

@@ -143,7 +143,7 @@ def model_summary(spark, sf):
 
 @query("backtest_playing_summary", "WITH " + PREDS_SQL + GRAIN_SQL.format(" AND coalesce(minutes_r3, 0) >= 1") + SCORES_SQL + SUMMARY_SQL)
 def backtest_playing_summary(spark, sf):
-    return rnd(e.backtest(steady(baseline_predictions(spark, sf)))["summary_playing"], METRICS, 5)
+    return rnd(e.backtest(steady(baseline_predictions(spark, sf)), views=["playing"])["summary_playing"], METRICS, 5)
 
 
 @query("training_window", with_sql(PLAY_SQL) + """
@@ -288,7 +288,7 @@ FROM z JOIN ynone USING (season, lead) JOIN ytable USING (season, lead) JOIN yli
 def lead_time_summary(spark, sf):
     d = lead_predictions(spark, sf)
     d = rnd(d, list(_KINDS.values()))
-    out = mp.summarise_leads(d, _KINDS, "points", strategy="direct")
+    out = mp.summarise_leads(d, _KINDS, "points")
     return rnd(out, [c for c in out.columns if c not in ("season", "lead", "starts")], 5)
 
 

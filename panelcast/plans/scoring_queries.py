@@ -11,6 +11,7 @@ from panelcast.plans.panels import (
 )
 from panelcast.plans.metrics_queries import rho_sql, rnd
 from panelcast.plans.registry import query, table
+from panelcast.session import materialise
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEYS_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -233,7 +234,9 @@ SELECT period, CAST(n AS BIGINT) AS n, round(model_mae, 6) AS model_mae, round(m
 
 @query("head_to_head", H2H)
 def head_to_head(spark, sf):
-    out = r.head_to_head(log_panel(spark, sf), WHO, "xp_external", strategy="direct")
+    # The running log is a stored table; here it is stored first.
+    log = materialise(log_panel(spark, sf), "log")
+    out = r.head_to_head(log, WHO, "xp_external")
     return rnd(out, [c for c in out.columns if c.endswith(("_mae", "_rank"))])
 
 
