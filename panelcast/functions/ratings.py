@@ -15,7 +15,7 @@ def expected_home(home: Column, away: Column, advantage: float = HOME) -> Column
 
 
 def margin_factor(difference: Column) -> Column:
-    return F.sqrt(F.greatest(F.lit(1), F.abs(difference)).cast("double"))
+    return F.when(difference.isNotNull(), F.sqrt(F.greatest(F.lit(1), F.abs(difference)).cast("double")))
 
 
 def result_of(home_goals: Column, away_goals: Column) -> Column:

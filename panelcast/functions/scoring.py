@@ -96,7 +96,7 @@ def poisson_step(rate: Column, per: int = 2, cap: int = 24) -> Column:
     The coefficients are constants known when the plan is made, so the row only pays for a Horner
     evaluation and one exponential.
     """
-    rate = F.greatest(rate, F.lit(1e-9))
+    rate = F.when(rate.isNotNull(), F.greatest(rate, F.lit(1e-9)))
     poly = F.lit(0.0)
     for k in range(cap, -1, -1):
         poly = poly * rate + F.lit((k // per) / math.factorial(k))
@@ -105,17 +105,17 @@ def poisson_step(rate: Column, per: int = 2, cap: int = 24) -> Column:
 
 def availability_ceiling(p: Column, flag: Column) -> Column:
     """A probability capped by the published availability in percent; unflagged rows are left alone."""
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), flag / 100.0))
-    return F.least(p, F.coalesce(share, F.lit(1.0)))
+    share = unit(flag / 100.0)
+    return F.when(p.isNotNull(), F.least(p, F.coalesce(share, F.lit(1.0))))
 
 
 def unit(p: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    return F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
 def reconcile(p_full: Column, p_play: Column) -> Column:
     """Playing the full threshold implies playing."""
-    return F.least(p_full, p_play)
+    return F.when(p_full.isNotNull() & p_play.isNotNull(), F.least(p_full, p_play))
 
 
 def combine(f: Mapping[str, Column], yellow_rate: Column | None = None, red_rate: Column | None = None) -> dict[str, Column]:

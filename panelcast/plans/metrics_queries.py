@@ -216,7 +216,7 @@ def shrunken_lines(spark, sf):
 
 @query("apply_multipliers", "WITH " + STARTS_SQL + LINE_FIT + """,
 ov AS (SELECT avg(ratio) AS overall FROM ra)
-SELECT season, entity, event, round(coalesce(a + b * greatest(-300, least(300, CASE WHEN entity % 5 <> 0 THEN gap END)), overall), 6) AS multiplier
+SELECT season, entity, event, round(coalesce(CASE WHEN entity % 5 <> 0 THEN a + b * greatest(-300, least(300, gap)) END, overall), 6) AS multiplier
 FROM ra LEFT JOIN li USING (position) CROSS JOIN ov""")
 def apply_multipliers(spark, sf):
     d = starts(spark, sf)

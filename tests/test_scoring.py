@@ -41,3 +41,11 @@ def test_terms_add_up_and_unflagged_rows_are_left_alone(spark):
     assert row["clean_sheet"] == pytest.approx(0.4 * 0.7 * 4) and row["cards"] == pytest.approx((-0.2 - 0.03) * 0.9)
     caps = spark.range(1).select(s.availability_ceiling(F.lit(0.9), F.lit(25.0)), s.availability_ceiling(F.lit(0.9), F.lit(None).cast("double"))).first()
     assert tuple(caps) == (0.25, 0.9)
+
+
+def test_unknown_inputs_stay_unknown(spark):
+    from panelcast.functions.ratings import margin_factor
+
+    n = F.lit(None).cast("double")
+    row = spark.range(1).select(s.poisson_step(n), s.unit(n), s.reconcile(n, F.lit(0.5)), s.availability_ceiling(n, F.lit(50.0)), margin_factor(n)).first()
+    assert tuple(row) == (None,) * 5
