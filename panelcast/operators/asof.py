@@ -14,23 +14,36 @@ def as_of_join(left: DataFrame, right: DataFrame, on: Sequence[str], when: str,
 
     The lookups are first reduced to their distinct (key, when) pairs, with map-side combine, so a key
     that fills a third of the left side is looked up once per instant. Pairs and right rows are then
-    merged by one window over the key, and the answers joined back on the pair. Null when nothing
-    is valid yet.
+    merged by one window, and the answers joined back on the pair. Instants finer than a day are merged
+    day by day, each day starting from the value its key closed the days before with, so a key with
+    very many instants is spread over its days. Null when nothing is valid yet.
     """
     on = list(on)
-    asked = left.select(*on, F.col(when).alias("__t")).where(F.col("__t").isNotNull()).distinct()
+    fine = left.schema[when].dataType.typeName().startswith("timestamp")
+    day = F.to_date("__t") if fine else F.lit(0)
+    asked = left.select(*on, F.col(when).alias("__t")).where(F.col("__t").isNotNull()).distinct().withColumn("__day", day)
     history = right.dropna(subset=[*on, valid_from]).groupBy(*on, F.col(valid_from).alias("__t")).agg(
-        F.max(F.struct(*values)).alias("__v"))
-    marked = asked.select(*on, "__t", F.lit(None).cast(history.schema["__v"].dataType).alias("__v"), F.lit(True).alias("__ask"))
-    merged = history.select(*on, "__t", "__v", F.lit(False).alias("__ask")).unionByName(marked)
+        F.max(F.struct(*values)).alias("__v")).withColumn("__day", day)
+    kind = history.schema["__v"].dataType
+    marked = asked.select(*on, "__day", "__t", F.lit(None).cast(kind).alias("__v"), F.lit(True).alias("__ask"))
+    merged = history.select(*on, "__day", "__t", "__v", F.lit(False).alias("__ask")).unionByName(marked)
     # A lookup sorts before the history of its own instant when the match must be strictly earlier.
     order = [F.col("__t"), F.col("__ask").desc() if strict else F.col("__ask").asc()]
-    past = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    known = merged.select(*on, "__t", "__ask", F.last("__v", ignorenulls=True).over(past).alias("__v"))
-    known = known.where(F.col("__ask")).select(*on, F.col("__t").alias(when), *[F.col(f"__v.{v}").alias(v) for v in values])
+    past = Window.partitionBy(*on, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = merged.select(*on, "__day", "__t", "__ask", F.last("__v", ignorenulls=True).over(past).alias("__v")).where(F.col("__ask"))
+    if fine:
+        known = known.join(_carried_in(merged, on), [*on, "__day"], "left").withColumn("__v", F.coalesce("__v", "__carry"))
+    known = known.select(*on, F.col("__t").alias(when), *[F.col(f"__v.{v}").alias(v) for v in values])
     return left.join(known, [*on, when], "left")
 
 
+def _carried_in(merged: DataFrame, on: list[str]) -> DataFrame:
+    """Per key and day the value in force when the day begins."""
+    closing = merged.groupBy(*on, "__day").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__t"))).alias("__close"))
+    before = Window.partitionBy(*on).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    return closing.select(*on, "__day", F.last("__close", ignorenulls=True).over(before).alias("__carry"))
+
+
 def latest_before(captures: DataFrame, deadlines: DataFrame, keys: Sequence[str], period: str = "period",
                   captured: str = "captured_at", deadline: str = "deadline", pick: str = "latest") -> DataFrame:
     """The newest (or first) capture per key that precedes its period's deadline.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators.windows import HOT_ROWS, largest_group
+from panelcast.session import materialise
 
 BUCKETS = 512
 
@@ -49,6 +50,8 @@ def _bucketed(df, by, value, name, method, descending):
         df.where(F.col(value).isNotNull()).select(*by, value, at.alias("__at"))
         .groupBy(*by, value, "__at").agg(F.count("*").alias("__n"))
     )
+    # Three readers follow; the distinct values are written once rather than counted three times.
+    counts = materialise(counts, "ranks")
     span = counts.groupBy(*by).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
     share = F.try_divide(F.col("__at") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
     placed = counts.join(_renamed(span, by), _same(by), "inner").drop(*[f"__k_{k}" for k in by]).withColumn(

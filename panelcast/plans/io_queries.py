@@ -179,7 +179,7 @@ def prediction_store(spark, sf):
     due = datetime.datetime(2026, 1, 2)
     sinks.append_predictions(d, path, 1998, 3, due, datetime.datetime(2026, 1, 1, 8), "component")
     sinks.append_predictions(d.withColumn("expected_points", F.col("expected_points") + 1), path, 1998, 3, due, datetime.datetime(2026, 1, 1, 9), "component")
-    deadlines = d.limit(1).select(F.lit(3).alias("period"), F.lit(due).alias("deadline"))
+    deadlines = log_panel(spark, sf).select("period").distinct().withColumn("deadline", F.lit(due))
     builds = readers.read_predictions(spark, path, 1998, 3)
     return asof.stored_predictions(builds, deadlines, ["season", "period"]).select("entity", "expected_points", "model", "odds_priced")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators import multipliers as mp
+from panelcast.session import materialise
 
 
 def training_pairs(rows: DataFrame, season: str = "season") -> DataFrame:
@@ -23,9 +24,11 @@ def lead_time_predictions(rows: DataFrame, points: str, first: int = 6, season:
     predict. `gap_then` names the gap as known at the as-of period when it differs from the event's own.
     """
     keys = [season, entity]
+    # Read by three fits, the rates and the targets; fits are one row per season, position and level.
+    rows = materialise(rows, "starts")
     train = training_pairs(rows, season).where(F.col("ratio").isNotNull()).drop(season).withColumnRenamed("test_season", season)
     by = [season]
-    overall = mp.overall_mean(train, by)
+    overall = materialise(mp.overall_mean(train, by), "overall")
     table, lines = mp.fit_table(train, by, position), mp.fit_line(train, by, position)
     rates = mp.prior_rates(rows, keys, period, points)
     out = mp.lead_targets(rows, rates, keys, period, first=first).join(overall.select(season), season, "left_semi")

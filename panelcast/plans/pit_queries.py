@@ -10,6 +10,7 @@ from panelcast.operators.metrics import brier
 from panelcast.plans.metrics_queries import rnd
 from panelcast.plans.panels import MATCH_ORDER, MATCH_SQL, ORD, ORD_SQL, PLAY, PLAY_SQL, match_panel, ord_panel, play_panel, with_sql
 from panelcast.plans.registry import query, table
+from panelcast.session import materialise
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEYS_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -186,7 +187,7 @@ hist AS (SELECT league, side, date, last(rating ORDER BY n) AS rating FROM (
 
 
 def replayed(spark, sf):
-    return elo.replay(match_panel(spark, sf), MATCH_ORDER)
+    return elo.replay(materialise(match_panel(spark, sf), "matches"), MATCH_ORDER)
 
 
 @query("rating_replay_expectations", with_sql(MATCH_SQL, REPLAY_SQL) + """

@@ -9,6 +9,7 @@ from panelcast.operators import squads as sq
 from panelcast.plans.metrics_queries import rnd
 from panelcast.plans.panels import EV_SQL, LOG_SQL, ev_panel, log_panel, with_sql
 from panelcast.plans.registry import query, table
+from panelcast.session import materialise
 
 BANK_SQL = with_sql(EV_SQL) + """,
 u AS (SELECT user_id, day, CAST(count(*) AS INTEGER) AS n, bool_or(event_type = 'signup') AND day % 4 = 0 AS free FROM ev WHERE event_type <> 'view' GROUP BY user_id, day),
@@ -44,12 +45,12 @@ BY = ["season", "period", "squad"]
 
 @query("automatic_substitutions")
 def automatic_substitutions(spark, sf):
-    lineup = sq.model_lineup(squads(spark, sf), BY)
+    lineup = sq.model_lineup(materialise(squads(spark, sf), "squads"), BY)
     return sq.auto_subs(lineup, BY)
 
 
 def settled(spark, sf):
-    lineup = sq.model_lineup(squads(spark, sf), BY)
+    lineup = materialise(sq.model_lineup(materialise(squads(spark, sf), "squads"), BY), "lineup")
     flags = sq.subbed_flags(lineup, sq.auto_subs(lineup, BY), BY)
     vice = Window.partitionBy(*BY).orderBy(F.col("is_captain").asc(), (F.col("slot") > 11).asc(), F.desc("expected_points"), "entity")
     flags = flags.withColumn("is_vice", (F.row_number().over(vice) == 1) & ~F.col("is_captain"))

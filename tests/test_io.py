@@ -134,3 +134,25 @@ def test_shared_folder_comes_from_the_session(spark, monkeypatch):
 
     assert session.shared_dir(spark)
     assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
+
+
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("kind", ["timestamp", "date"])
+def test_as_of_matches_brute_force(spark, strict, kind):
+    import random
+
+    rng = random.Random(4)
+    unit = datetime.timedelta(hours=7) if kind == "timestamp" else datetime.timedelta(days=1)
+
+    def at(n):
+        t = NOON + n * unit
+        return t if kind == "timestamp" else t.date()
+
+    history = {(rng.randrange(3), rng.randrange(60)): float(i) for i in range(60)}
+    asks = [(i, rng.choice([0, 1, 2, 9, None]), rng.randrange(-3, 65)) for i in range(200)]
+    h = spark.createDataFrame([(k, at(t), v) for (k, t), v in history.items()], f"k int, since {kind}, v double")
+    q = spark.createDataFrame([(i, k, at(t)) for i, k, t in asks], f"i int, k int, at {kind}")
+    got = {r["i"]: r["v"] for r in asof.as_of_join(q, h, ["k"], "at", "since", ["v"], strict).collect()}
+    for i, k, t in asks:
+        past = [(u, v) for (kk, u), v in history.items() if kk == k and (u < t or (u == t and not strict))]
+        assert got[i] == (max(past)[1] if past else None)
