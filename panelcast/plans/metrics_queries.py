@@ -28,10 +28,10 @@ def rho_sql(source: str, by: str, a: str, p: str, name: str, least: int = 3) ->
 
 @query("error_metrics", with_sql(LOG_SQL) + """
 SELECT season, period, round(avg(abs(actual - expected_points)), 6) AS mae, round(sqrt(avg(pow(actual - expected_points, 2))), 6) AS rmse,
-       round(avg(pow(expected_points / 10 - CASE WHEN actual > 5 THEN 1.0 ELSE 0.0 END, 2)), 6) AS brier
+       round(avg(pow(expected_points / 16 - CASE WHEN actual > 5 THEN 1.0 ELSE 0.0 END, 2)), 6) AS brier
 FROM log GROUP BY season, period""")
 def error_metrics(spark, sf):
-    d = log_panel(spark, sf).withColumns({"p": F.col("expected_points") / 10, "hit": (F.col("actual") > 5).cast("double")})
+    d = log_panel(spark, sf).withColumns({"p": F.col("expected_points") / 16, "hit": (F.col("actual") > 5).cast("double")})
     out = d.groupBy("season", "period").agg(
         m.mae("actual", "expected_points").alias("mae"), m.rmse("actual", "expected_points").alias("rmse"), m.brier("p", "hit").alias("brier"))
     return rnd(out, ["mae", "rmse", "brier"])
