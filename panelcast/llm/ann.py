@@ -13,6 +13,7 @@ precision, and only the nearest of each block come out. Equal vectors share one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ TREES, BITS, CELL = 24, 64, 1500
 #: Candidates that the trees hold between them before the ascent ends, as a share of all vectors (a vector found in
 #: several trees counts in each): without clusters in the data, neighbours are found only where much is looked at.
 SHARE = 1.4
+#: And so many candidates more for each neighbour asked for: in small tables this is all there is.
+PER_NEIGHBOUR = 200
 BLOCK, QUERY_BLOCK = 50_000, 4_000
 
 
@@ -164,7 +167,7 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     # a cell is cut into as many blocks as its own entries need
     entries = entries.join(sizes, list(place)).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")).drop("blocks")
     found = found.join(sizes, list(place))
-    target = int(min(share * n, 2**40)) + k
+    target = int(share * n) + PER_NEIGHBOUR * k
 
     # descent: how many entries share each prefix length with the query, summed over the trees; then the common level
     def levels(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -233,7 +236,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _take_nearest(x: np.ndarray, ids: list, q: np.ndarray, qid: int, k: int, out_q: list, out_id: list, out_s: list) -> None:
-    """Appends the k nearest of the entries for one query, leaving out its own id; scores are summed in one fixed way."""
+    """Appends the k nearest of the entries for one query, leaving out its own id; scores are the sums of the products, rounded once."""
     if not len(x):
         return
     rough = x @ q
@@ -242,8 +245,7 @@ def _take_nearest(x: np.ndarray, ids: list, q: np.ndarray, qid: int, k: int, out
         pick = np.flatnonzero(rough >= least - 1e-9 * max(1.0, abs(least)))
     else:
         pick = np.arange(len(rough))
-    exact = (x[pick] * q).sum(axis=1)
-    rows = sorted((-e, i) for j, e in zip(pick, exact.tolist()) for i in ids[j] if i != qid)[:k]
+    rows = sorted((-fsum(p), i) for j, p in zip(pick, (x[pick] * q).tolist()) for i in ids[j] if i != qid)[:k]
     out_q += [int(qid)] * len(rows)
     out_id += [i for _, i in rows]
     out_s += [-e for e, _ in rows]

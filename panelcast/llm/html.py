@@ -161,19 +161,20 @@ def second_pass(first: Sequence[str], containers: Sequence[int]) -> list[bool]:
     left out only between two bad ones: tables, symbols and one-word paragraphs of an article are its text. Outside,
     where both sides differ, the nearer one decides, the bad one at a tie, and a good one decides for middling blocks.
     """
+    n = len(first)
+    near: list[list[tuple[int, bool]]] = [[] for _ in first]
+    for side in (range(n), range(n - 1, -1, -1)):
+        last: dict[int, int] = {}  # the decided block passed last, by container
+        for i in side:
+            if (j := last.get(containers[i])) is not None:
+                near[i].append((abs(j - i), first[j] == "good"))
+            if first[i] in ("good", "bad") or first[i] == "out" and containers[i] < 0:
+                last[containers[i]] = i
     out = []
-    for i, kind in enumerate(first):
+    for kind, container, found in zip(first, containers, near):
         if kind in ("good", "bad", "out"):
             out.append(kind == "good")
-            continue
-        inside = containers[i] >= 0
-        decided = ("good", "bad") if inside else ("good", "bad", "out")
-        found = []
-        for side in (range(i - 1, -1, -1), range(i + 1, len(first))):
-            j = next((j for j in side if first[j] in decided and containers[j] == containers[i]), None)
-            if j is not None:
-                found.append((abs(j - i), first[j] == "good"))
-        if inside:
+        elif container >= 0:
             out.append(len(found) < 2 or any(good for _, good in found))
         elif kind == "thin" or not found:
             out.append(kind == "near")

@@ -1,5 +1,6 @@
 import html
 import re
+from math import fsum
 
 import numpy as np
 
@@ -51,7 +52,7 @@ def test_odd_pages(spark):
 def exact(rows, queries, k=20):
     out = {}
     for q, v in queries:
-        s = sorted((-float((np.asarray(x) * np.asarray(v)).sum()), i) for i, x in rows if i != q and len(x) == len(v))
+        s = sorted((-fsum(a * b for a, b in zip(x, v)), i) for i, x in rows if i != q and len(x) == len(v))
         out[q] = s[:k]
     return out
 
