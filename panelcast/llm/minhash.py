@@ -5,8 +5,8 @@ is posted under (coordinate, value) pairs of its signature. A pair of sets that
 of K coordinates, so it shares a value among the K - T + 1 rarest of either side: only values that two classes
 share count at all, and each class is posted under its rarest values up to that prefix, skipping the long lists of
 values that many texts share. Lists are merged without making all pairs of a list: first each class is compared with the
-most central class of its lists; classes found linked are one component; then only list members of different
-components are compared, in blocks. Pairs with fewer collisions over the full signature than the match threshold are
+most central class of its lists; classes found linked are one component; then members of other components are
+compared with their nearest in the list, and last all list members that are still in different components, in blocks. Pairs with fewer collisions over the full signature than the match threshold are
 dropped, the others are confirmed on the full sets. Components are closed over the confirmed links.
 """
 
@@ -170,9 +170,10 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
             return labels
 
 
-def list_pairs(posts: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+def list_pairs(posts: DataFrame, comps: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
     """(a, b): pairs of different components that share a posted value and have enough collisions.
 
+    With `nearest`, of each member outside a list's largest component only the pair with most collisions in each block.
     A list's largest component is cut into blocks that stay; members of the others meet every block. Pairs of a list
     are compared inside tasks on their signatures and come out only from the first list both are posted in.
     """
@@ -203,8 +204,12 @@ def list_pairs(posts: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFr
         for i in np.flatnonzero(role == 1):
             other = base[(comp[base] != comp[i]) & (ids[base] != ids[i])]
             same = sig[other] == sig[i]
-            first = (same[:, :POSTED] & posted[other] & posted[i]).argmax(axis=1)
-            hit = other[(same.sum(axis=1) >= MATCHES) & (first == here)]
+            n = same.sum(axis=1)
+            if nearest:
+                hit = other[[n.argmax()]] if len(n) and n.max() >= MATCHES else other[:0]
+            else:
+                first = (same[:, :POSTED] & posted[other] & posted[i]).argmax(axis=1)
+                hit = other[(n >= MATCHES) & (first == here)]
             out_a.append(np.full(len(hit), ids[i]))
             out_b.append(ids[hit])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -268,10 +273,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     best = posts.join(centres, F.col("v") == F.col("w")).groupBy("id").agg(F.max("top").alias("top"))
     star = best.select(F.col("id").alias("a"), (-F.col("top")["minus"]).alias("b")).filter("a <> b")
     star_links = materialise(confirm(star, sets, percent), "links")
-    comps = components(star_links)
-    rest = materialise(list_pairs(posts, comps, classes), "pairs")
-    links = materialise(star_links.union(confirm(rest, sets, percent)), "links")
-    comps = components(links)
+    comps, links = components(star_links), star_links
+    for nearest in (True, False):  # first what most likely joins components, then every pair that is still between two
+        pairs = materialise(list_pairs(posts, comps, classes, nearest), "pairs")
+        links = materialise(links.union(confirm(pairs, sets, percent)), "links")
+        comps = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     # a row finds its class, the class its component: the class side has one row per set, the rows may be hot
     named = classes.join(comps, "id", "left").join(degree, "id", "left").select(F.col("cls").alias("class"), "id", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("links"))
