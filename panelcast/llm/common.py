@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -65,17 +66,18 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 <
 
 
 class Memo(dict):
-    """Values of distinct text pieces, each computed once by `encode` in bulk; emptied when it passes `limit` entries."""
+    """Values of distinct text pieces, each computed once by `encode` in bulk. Past `limit` entries only those just used stay."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 600_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self]
         if len(self) + len(new) > self.limit:
+            used = {p: self[p] for p in pieces if p in self}
             self.clear()
-            new = list(pieces)
+            self.update(used)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             self.update(zip(part, self.encode(part)))
@@ -95,11 +97,31 @@ def word_ids(path: str) -> Callable[[list[str]], list[bytes]]:
     """Encoder of whole texts into little-endian uint32 ids for a vocabulary that drops white space.
 
     Such a vocabulary never joins characters across a space or line end, so texts are cut there, each distinct word is
-    encoded once, and the ids of a text are its words' ids in a row. One memo lives in each worker process.
+    encoded once, and the ids of a text are its words' ids in a row. It also lower-cases and cuts between letters and
+    marks, so a word of ASCII letters before one full stop or comma has the ids of the lower-case word and of the mark.
+    One memo lives in each worker process.
     """
     if path not in _WORD_MEMOS:
         tokenizer = load_tokenizer(path)
-        _WORD_MEMOS[path] = Memo(lambda words: [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+        def plain(words: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+        def by_stem(words: list[str]) -> list[bytes]:
+            stems, ends = [], []
+            for w in words:
+                end = w[-1] if w[-1:] in (".", ",") else ""
+                body = w[: len(w) - len(end)]
+                letters = body.isascii() and body.isalpha()
+                stems.append(body.lower() if letters else w)
+                ends.append(end if letters else "")
+            own = _WORD_MEMOS[path]
+            new = [s for s in set(stems) if s not in own]
+            own.update(zip(new, plain(new)))
+            return [own[s] + marks[e] for s, e in zip(stems, ends)]
+
+        marks = {m: plain([m])[0] for m in ("", ".", ",")}
+        _WORD_MEMOS[path] = Memo(by_stem)
     memo = _WORD_MEMOS[path]
 
     def encode(texts: list[str]) -> list[bytes]:
