@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import Memo, byte_slices, load_tokenizer
+from panelcast.llm.common import OWN, Memo, byte_slices, load_tokenizer
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 _COUNTERS: dict[str, Callable[[list[str]], list[int]]] = {}
@@ -76,13 +76,13 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     A null text is empty: no bytes, no tokens. Repeated rows and null keys are counted as they are; no shuffle, no order.
     """
-    rows = docs.select(F.col(key), *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key), *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(f"{OWN}text"))
     schema = T.StructType([*rows.select(key, *keep).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     passed = len(keep) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, f"{OWN}text"):
             texts = batch.column(passed)
             n = pa.array(count(texts.to_pylist()), pa.int64())
             n_bytes = pa.compute.cast(pa.compute.binary_length(texts), pa.int64())

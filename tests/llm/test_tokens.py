@@ -29,8 +29,8 @@ def test_counts_are_the_librarys(request, which):
     got = tokencount.count_tokens(docs.withColumn("n_tokens", F.lit("clash")), BYTE, keep=["text"]).collect()
     assert len(got) == docs.count()
     for r in got:
-        n = len(t.encode(r["text"], add_special_tokens=False).ids)
-        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(r["text"].encode()), n > 1024)
+        n = len(t.encode(r["text"] or "", add_special_tokens=False).ids)
+        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len((r["text"] or "").encode()), n > 1024)
 
 
 def test_counts_with_a_model_file():
