@@ -156,7 +156,8 @@ def stamp_build(df: DataFrame, generated_at, model: str, odds_priced: str | None
 def fingerprint(df: DataFrame, extra: Mapping[str, str] | None = None) -> DataFrame:
     """Order-insensitive content hash of a frame with its schema; keys a fitted model."""
     described = ",".join(f"{n}:{t}" for n, t in df.dtypes) + "|" + ",".join(f"{k}={v}" for k, v in (extra or {}).items())
-    row = F.xxhash64(*df.columns)
+    # the hash passes over nulls, so where they stand is hashed with the values
+    row = F.xxhash64(*df.columns, F.concat_ws("", *[F.isnull(c).cast("string") for c in df.columns]))
     # XOR alone would let pairs of equal rows cancel out; the sum of a second hash and the count do not.
     return df.agg(
         F.bit_xor(row).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit("again"), row), F.lit(2**40))).alias("s"), F.count("*").alias("n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.ranks import add_rank, rank_strategy
+from panelcast.operators.ranks import add_rank
 from panelcast.session import materialise
 
 PRED, ACTUAL = "prediction", "actual"
@@ -35,10 +35,9 @@ def _guarded_corr(a: str, b: str) -> Column:
 
 
 def spearman(df: DataFrame, by: Sequence[str], actual: str = ACTUAL, pred: str = PRED,
-             name: str = "rho", least: int = 3, strategy: str = "auto") -> DataFrame:
+             name: str = "rho", least: int = 3, strategy: str = "direct") -> DataFrame:
     """Per group: Pearson on average ranks over rows where both are known, and the row count."""
     rows = df.where(F.col(actual).isNotNull() & F.col(pred).isNotNull()).select(*by, actual, pred)
-    strategy = rank_strategy(rows, by, strategy)
     rows = add_rank(rows, by, actual, "__ra", "average", strategy=strategy)
     rows = add_rank(rows, by, pred, "__rp", "average", strategy=strategy)
     varied = (F.min("__ra") < F.max("__ra")) & (F.min("__rp") < F.max("__rp"))
@@ -49,7 +48,7 @@ def spearman(df: DataFrame, by: Sequence[str], actual: str = ACTUAL, pred: str =
 
 
 def spearman_by_position(df: DataFrame, by: Sequence[str], position: str = "position", actual: str = ACTUAL,
-                         pred: str = PRED, name: str = "rho_by_position", strategy: str = "auto") -> DataFrame:
+                         pred: str = PRED, name: str = "rho_by_position", strategy: str = "direct") -> DataFrame:
     """Within-position rank correlation, weighted by position size; positions without one count nowhere."""
     cells = spearman(df, [*by, position], actual, pred, "__rho", strategy=strategy)
     known = F.when(F.col("__rho").isNotNull(), F.col("n"))
@@ -58,7 +57,7 @@ def spearman_by_position(df: DataFrame, by: Sequence[str], position: str = "posi
 
 def spearman_by_position_unweighted(df: DataFrame, by: Sequence[str], pred: str, actual: str,
                                     position: str = "position", least: int = 10,
-                                    name: str = "rho_by_position", strategy: str = "auto") -> DataFrame:
+                                    name: str = "rho_by_position", strategy: str = "direct") -> DataFrame:
     """Plain mean over positions with at least `least` rows."""
     cells = spearman(df, [*by, position], actual, pred, "__rho", least=least, strategy=strategy)
     return cells.groupBy(*by).agg(F.avg("__rho").alias(name))
@@ -73,7 +72,7 @@ def to_period_grain(rows: DataFrame, by: Sequence[str], event: str = "event", po
 
 
 def score_periods(preds: DataFrame, by: Sequence[str] = ("model", "season", "period"), entity: str = "entity",
-                  event: str = "event", position: str = "position", strategy: str = "auto") -> DataFrame:
+                  event: str = "event", position: str = "position", strategy: str = "direct") -> DataFrame:
     """One row of metrics per model and period, for all of them at once.
 
     A row without a prediction is not a prediction of zero; it is left out. The summed grain feeds five

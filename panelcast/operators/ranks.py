@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.windows import HOT_ROWS, largest_group
 from panelcast.session import materialise
 
 BUCKETS = 512
@@ -15,27 +14,19 @@ BUCKETS = 512
 
 def add_rank(
     df: DataFrame, by: Sequence[str], value: str, name: str = "rank", method: str = "min",
-    descending: bool = False, strategy: str = "auto", hot_rows: int = HOT_ROWS,
+    descending: bool = False, strategy: str = "direct",
 ) -> DataFrame:
     """`method` "min" gives ties their best rank, "average" their mean rank. Null values get null.
 
     ``direct`` is one window. ``buckets`` counts distinct values first and ranks them from bucket
-    offsets, so a group of any size is shared between tasks; ``auto`` picks by the largest group.
+    offsets, so a group of any size is shared between tasks. The caller picks.
     """
     if method not in ("min", "average"):
         raise ValueError(f"unknown rank method {method!r}")
     by = list(by)
-    strategy = rank_strategy(df, by, strategy, hot_rows)
     return (_bucketed if strategy == "buckets" else _direct)(df, by, value, name, method, descending)
 
 
-def rank_strategy(df: DataFrame, by: Sequence[str], strategy: str = "auto", hot_rows: int = HOT_ROWS) -> str:
-    """Settle "auto" by the largest group, so several ranks over the same groups ask once."""
-    if strategy == "auto":
-        return "buckets" if largest_group(df, by) > hot_rows else "direct"
-    return strategy
-
-
 def _direct(df, by, value, name, method, descending):
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     rank = F.rank().over(Window.partitionBy(*by).orderBy(order)).cast("double")

@@ -218,7 +218,7 @@ def minutes_calibration(log: DataFrame, predicted: str = "appearance", actual: s
 
 def head_to_head(log: DataFrame, forecasters: Mapping[str, str], require: str, by: Sequence[str] = ("season", "period"),
                  entity: str = "entity", position: str = "position", actual: str = "actual",
-                 xi_ties: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
+                 xi_ties: Sequence[str] = (), strategy: str = "direct") -> DataFrame:
     """Per period and over all: MAE, within-position rank and best-XI points of each forecaster.
 
     The overall row weights MAE by rows, averages the ranks and sums the XI points.

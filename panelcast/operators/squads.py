@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Legal line-ups: one keeper, 3-5 defenders, 2-5 midfielders, 1-3 forwards, ten outfielders.
+# Fixed values. Legal line-ups: one keeper, 3-5 defenders, 2-5 midfielders, 1-3 forwards, ten outfielders.
 SHAPES = [(d, m, 10 - d - m) for d in range(3, 6) for m in range(2, 6) if 1 <= 10 - d - m <= 3]
 LEAST = {"GK": 1, "DEF": 3, "MID": 2, "FWD": 1}
 MOST = {"GK": 1, "DEF": 5, "MID": 5, "FWD": 3}

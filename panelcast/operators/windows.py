@@ -7,8 +7,8 @@ Two physical plans give the same values.
 ``collapse`` rows are first aggregated per (group, entity, period), with map-side combine, and the
              windows run over periods only; the values are joined back by (group, entity, period).
              An entity that holds a third of all rows is spread over its periods and over map tasks.
-``auto``     counts rows per entity (a column-pruned aggregate whose answer is one number) and takes
-             ``collapse`` once the largest exceeds `HOT_ROWS`.
+The caller picks; nothing is counted while the plan is built. Means may differ in their last bits
+between the plans, as sums of doubles do in another order.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from panelcast.spec import PanelSpec
 
-HOT_ROWS = 5_000_000
-
 STATS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count,
     "std": F.stddev_samp, "var": F.var_samp,
@@ -66,22 +64,13 @@ def nth_previous(col: str, n: int = 1, name: str | None = None) -> Lagged:
     return Lagged(name or f"{col}_lag{n}", col, "nth", n)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the biggest group."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
 def attach_lagged(
-    df: DataFrame, spec: PanelSpec, lags: Iterable[Lagged], strategy: str = "auto", hot_rows: int = HOT_ROWS
+    df: DataFrame, spec: PanelSpec, lags: Iterable[Lagged], strategy: str = "direct"
 ) -> DataFrame:
     """`df` with one column per request, each as it stood when the row's period began."""
     lags = list(lags)
     if not lags:
         return df
-    if strategy == "auto":
-        crowded = all(x.collapsible() for x in lags) and largest_group(df, spec.keys) > hot_rows
-        strategy = "collapse" if crowded else "direct"
     if strategy == "direct":
         return _direct(df, spec, lags)
     if strategy == "collapse":
@@ -239,15 +228,15 @@ def _last_but_one(base: DataFrame, spec: PanelSpec, col: str, v) -> DataFrame:
 # -- conveniences ---------------------------------------------------------------------------
 
 
-def rolling_stat(df, spec, cols, window, stat="mean", min_periods=1, strategy="auto") -> DataFrame:
+def rolling_stat(df, spec, cols, window, stat="mean", min_periods=1, strategy="direct") -> DataFrame:
     return attach_lagged(df, spec, [rolling(c, window, stat, min_periods) for c in cols], strategy)
 
 
-def expanding_stat(df, spec, cols, stat="mean", min_periods=1, strategy="auto") -> DataFrame:
+def expanding_stat(df, spec, cols, stat="mean", min_periods=1, strategy="direct") -> DataFrame:
     return attach_lagged(df, spec, [expanding(c, stat, min_periods) for c in cols], strategy)
 
 
-def previous_event_value(df, spec, cols, n=1, strategy="auto") -> DataFrame:
+def previous_event_value(df, spec, cols, n=1, strategy="direct") -> DataFrame:
     return attach_lagged(df, spec, [nth_previous(c, n) for c in cols], strategy)
 
 
@@ -261,17 +250,14 @@ def fan_out(cols: Sequence[str], windows: Sequence[int], prefix: str = "", to_da
 
 def add_rolling_features(
     df: DataFrame, spec: PanelSpec, cols: Sequence[str], windows: Sequence[int],
-    prefix: str = "", to_date: bool = True, strategy: str = "auto",
+    prefix: str = "", to_date: bool = True, strategy: str = "direct",
 ) -> tuple[DataFrame, list[str]]:
     lags = fan_out([c for c in cols if c in df.columns], windows, prefix, to_date)
     return attach_lagged(df, spec, lags, strategy), [x.name for x in lags]
 
 
-def days_rest(df: DataFrame, spec: PanelSpec, name: str = "days_rest", strategy: str = "auto",
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+def days_rest(df: DataFrame, spec: PanelSpec, name: str = "days_rest", strategy: str = "direct") -> DataFrame:
     """Days since the entity's previous event. The schedule is public, so this lags by row, not by period."""
-    if strategy == "auto":
-        strategy = "collapse" if largest_group(df, spec.keys) > hot_rows else "direct"
     if strategy == "direct":
         previous = F.lag(spec.time).over(Window.partitionBy(*spec.keys).orderBy(*spec.order))
         return df.withColumn(name, days_between(F.col(spec.time), previous))

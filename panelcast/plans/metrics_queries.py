@@ -297,7 +297,7 @@ b AS (SELECT season, period, sum(actual - expected_points) AS s, count(*) AS n F
 q AS (SELECT season, period, s, n, row_number() OVER (PARTITION BY season ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY season) AS k FROM b),
 d AS (SELECT season, d, i AS slot, k,
              (((((7 * 1299709 + d * 7919 + i * 104729 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 AS x
-      FROM q CROSS JOIN (SELECT unnest(range(500)) AS d) r),
+      FROM q CROSS JOIN (SELECT unnest(range(2000)) AS d) r),
 m AS (SELECT d.season, d.d, sum(q.s) / sum(q.n) AS m FROM d JOIN q ON q.season = d.season AND q.i = (d.x // 65536) % d.k GROUP BY ALL)
 SELECT season, round(e.est, 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
 FROM m JOIN (SELECT season, sum(s) / sum(n) AS est FROM b GROUP BY season) e USING (season) GROUP BY season, e.est"""
@@ -306,7 +306,7 @@ FROM m JOIN (SELECT season, sum(s) / sum(n) AS est FROM b GROUP BY season) e USI
 @query("block_bootstrap", BOOT_SQL)
 def block_bootstrap(spark, sf):
     d = log_panel(spark, sf).withColumn("d", F.col("actual") - F.col("expected_points"))
-    return rnd(mp.block_bootstrap(d, ["season"], "period", "d", draws=500), ["estimate", "ci_low", "ci_high"])
+    return rnd(mp.block_bootstrap(d, ["season"], "period", "d"), ["estimate", "ci_low", "ci_high"])
 
 
 @query("tier_cut_points", "WITH " + STARTS_SQL + """,

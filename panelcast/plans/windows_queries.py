@@ -55,11 +55,11 @@ def _lagged(name, sql, lags, strategy):
         return shaped(w.attach_lagged(ord_panel(spark, sf), ORD, lags, strategy), ORD, list(sql))
 
 
-_lagged("rolling_stat", ROLLING, ROLLING_LAGS, "auto")
+_lagged("rolling_stat", ROLLING, ROLLING_LAGS, "direct")
 _lagged("rolling_stat_collapsed", ROLLING, ROLLING_LAGS, "collapse")
-_lagged("expanding_stat", EXPANDING, EXPANDING_LAGS, "auto")
+_lagged("expanding_stat", EXPANDING, EXPANDING_LAGS, "direct")
 _lagged("expanding_stat_collapsed", EXPANDING, EXPANDING_LAGS, "collapse")
-_lagged("nth_previous_event", NTH, NTH_LAGS, "auto")
+_lagged("nth_previous_event", NTH, NTH_LAGS, "direct")
 _lagged("nth_previous_event_collapsed", NTH, NTH_LAGS, "collapse")
 _lagged("nth_previous_event_deep", {"x_lag4": nth("x", 4)}, [w.nth_previous("x", 4)], "direct")
 

@@ -89,13 +89,6 @@ def test_both_plans_match_brute_force_with_many_nulls(spark, seed):
             assert [None if r[name] is None else round(r[name], 6) for r in out] == expected, (strategy, name)
 
 
-def test_auto_takes_the_collapsed_plan_for_a_crowded_entity(spark):
-    d = panel(spark, [("a", 1, g, g, 1.0) for g in range(1, 8)])
-    text = w.attach_lagged(d, SPEC, [w.expanding("x")], "auto", hot_rows=3)._jdf.queryExecution().toString()
-    assert "Join" in text
-    assert "Join" not in w.attach_lagged(d, SPEC, [w.expanding("x")], "auto")._jdf.queryExecution().toString()
-
-
 def test_direct_plan_shuffles_and_sorts_once(spark):
     d = panel(spark, [("a", 1, g, g, 1.0) for g in range(1, 8)])
     plan = w.attach_lagged(d, SPEC, w.fan_out(["x"], [3, 5, 10]), "direct")._jdf.queryExecution().executedPlan().toString()
