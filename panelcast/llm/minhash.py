@@ -294,6 +294,7 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     Rows with a null key can't be told from each other by it; they stay, but for repeated texts.
     """
     kept = near_duplicates(docs.filter(F.col(key).isNotNull()), key, text, **options).filter("kept").select(F.col(key).alias(f"{OWN}kept")).distinct()
-    named = docs.join(kept, F.col(key) == F.col(f"{OWN}kept"), "left_semi").union(docs.filter(F.col(key).isNull()))
-    marked = named.withColumn(f"{OWN}text", F.when(F.col(key).isNull(), F.xxhash64(F.col(text))))
-    return marked.dropDuplicates([key, f"{OWN}text"]).select(*[F.col(c) for c in docs.columns])
+    # the join deals rows by key already, so taking one row of each key needs no further shuffle
+    named = docs.join(kept, F.col(key) == F.col(f"{OWN}kept"), "left_semi").dropDuplicates([key])
+    nameless = docs.filter(F.col(key).isNull()).withColumn(f"{OWN}text", F.xxhash64(F.col(text))).dropDuplicates([f"{OWN}text"]).drop(f"{OWN}text")
+    return named.union(nameless.select(*[F.col(c) for c in docs.columns]))
