@@ -6,13 +6,16 @@ of K coordinates, so it shares a value among the K - T + 1 rarest of either side
 share count at all, and each class is posted under its rarest values up to that prefix, skipping the long lists of
 values that many texts share. Lists are merged without making all pairs of a list: first each class is compared with the
 most central class of its lists; classes found linked are one component; then members of other components are
-compared with their nearest in the list, and last all list members that are still in different components, in blocks. Pairs with fewer collisions over the full signature than the match threshold are
-dropped, the others are confirmed on the full sets. Components are closed over the confirmed links.
+compared with their nearest in the list, and last all list members that are still in different components, in blocks.
+Pairs with fewer collisions over the full signature than the match threshold are dropped, the others are confirmed on
+the full sets. Components are closed over the confirmed links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.llm.common import OWN, byte_slices
-from panelcast.session import materialise
+from panelcast.session import materialise, scratch_path
 
 #: Words of a shingle, and the similarity of linked documents in percent (intersection to union).
 WORDS, PERCENT = 5, 85
@@ -79,6 +82,17 @@ def signature(s: np.ndarray) -> np.ndarray:
     return low
 
 
+def packed(low: np.ndarray) -> bytes:
+    """A signature for the way: posted coordinates whole, of the others one byte. Bytes agree wherever values do."""
+    return low[:POSTED].astype("<u4").tobytes() + low[POSTED:].astype(np.uint8).tobytes()
+
+
+def unpacked(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Posted coordinates and bytes of the others, a row per signature."""
+    raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), 3 * POSTED + COORDINATES)
+    return np.ascontiguousarray(raw[:, : 4 * POSTED]).view("<u4"), raw[:, 4 * POSTED :]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether 100 * intersection >= percent * union, on sorted sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -99,7 +113,7 @@ def sign(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 s = shingles(text, n)
                 sizes.append(len(s))
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(signature(s).astype("<u4").tobytes() if len(s) else None)
+                sigs.append(packed(signature(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -113,7 +127,7 @@ def posted_values(classes: DataFrame) -> DataFrame:
         high = np.arange(POSTED, dtype=np.int64) << 32
         for batch in batches:
             if batch.num_rows:
-                low = np.frombuffer(b"".join(x[: 4 * POSTED] for x in batch.column(1).to_pylist()), "<u4").reshape(-1, POSTED)
+                low = unpacked(batch.column(1).to_pylist())[0]
                 ids = np.repeat(batch.column(0).to_numpy(), POSTED)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((low.astype(np.int64) | high).ravel())], names=["id", "v"])
 
@@ -132,22 +146,50 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, 512)
 
 
+def keep_by_id(sets: DataFrame) -> tuple[DataFrame, str]:
+    """The sets as a table bucketed by id, so that no later join on id shuffles them; and the table's name."""
+    spark = sets.sparkSession
+    name = f"near_sets_{uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets.write.format("parquet").option("path", scratch_path(spark, "sets")).bucketBy(buckets, "id").sortBy("id").saveAsTable(name)
+    return spark.table(name), name
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y): the pairs with a column of either side. Many pairs may share b: its few values are written, so that
+    the second join is one of two shuffles, which adaptive execution splits."""
+    ends = pairs.select(F.col("b").alias("end")).distinct()
+    right = materialise(sets.join(ends, F.col("id") == F.col("end"), "left_semi").select(F.col("id").alias("b"), F.col(column).alias("y")), "ends")
+    left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col(column).alias("x")), "a")
+    return left.join(right, "b").select("a", "b", "x", "y")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _arrays(batches):
+            (wa, ta), (wb, tb) = unpacked(batch.column(2).to_pylist()), unpacked(batch.column(3).to_pylist())
+            n = (wa == wb).sum(axis=1) + (ta == tb).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(n >= MATCHES))
+
+    return _beside(pairs, sets, "sig").mapInArrow(run, "a long, b long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the signatures keep and the full sets confirm."""
-    left = sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
+    """The pairs (a, b) that the full sets confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _arrays(batches):
-            sa, sb, xa, xb = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-            ok = []
-            for i in range(batch.num_rows):
-                same = np.count_nonzero(np.frombuffer(sa[i], "<u4") == np.frombuffer(sb[i], "<u4"))
-                ok.append(bool(same >= MATCHES and linked(np.frombuffer(xa[i], "<u8"), np.frombuffer(xb[i], "<u8"), percent)))
+            ok = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return _beside(pairs, sets, "shingles").mapInArrow(run, "a long, b long")
+
+
+def ordered(links: DataFrame) -> DataFrame:
+    """Each link once, the smaller id first."""
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame, label: str = "component") -> DataFrame:
@@ -170,75 +212,125 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
             return labels
 
 
-def list_pairs(posts: DataFrame, comps: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b): pairs of different components that share a posted value and have enough collisions.
-
-    With `nearest`, of each member outside a list's largest component only the pair with most collisions in each block.
-    A list's largest component is cut into blocks that stay; members of the others meet every block. Pairs of a list
-    are compared inside tasks on their signatures and come out only from the first list both are posted in.
-    """
-    member = posts.join(comps, "id", "left").select("v", "id", F.coalesce("component", "id").alias("comp"))
-    sizes = member.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
-    lists = sizes.groupBy(F.col("v").alias("w")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("main_n"))
-    open_lists = lists.filter("kinds > 1").select("w", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("main_n")) / BLOCK).cast("int").alias("probes"))
-    sigs = classes.select("id", "sig")
-    every = posts.groupBy("id").agg(F.sort_array(F.collect_list(F.shiftright("v", 32).cast("int"))).alias("posted"))
-    found = member.join(open_lists, F.col("v") == F.col("w")).drop("w")
-    wide = found.join(sigs, "id").join(every, "id")
-    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    kept = wide.select("v", F.lit(0).alias("role"), spread("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("probe"), "id", "comp", "sig", "posted")
-    asked = wide.filter(F.col("comp") != F.col("main")).select("v", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), spread("probes", 2).alias("probe"), "id", "comp", "sig", "posted")
-    rows = kept.union(asked).repartition("v", "block", "probe").sortWithinPartitions("v", "block", "probe", "role", "id")
-
-    def compare(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(group)
-        role, ids, comp = (t.column(c).to_numpy() for c in ("role", "id", "comp"))
-        if not role.any() or role.all():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, COORDINATES)
-        posted = np.zeros((len(ids), POSTED), bool)
-        for i, p in enumerate(t.column("posted").to_pylist()):
-            posted[i, p] = True
-        here = int(t.column("v")[0].as_py()) >> 32
-        base, out_a, out_b = np.flatnonzero(role == 0), [], []
-        for i in np.flatnonzero(role == 1):
-            other = base[(comp[base] != comp[i]) & (ids[base] != ids[i])]
-            same = sig[other] == sig[i]
-            n = same.sum(axis=1)
-            if nearest:
-                hit = other[[n.argmax()]] if len(n) and n.max() >= MATCHES else other[:0]
-            else:
-                first = (same[:, :POSTED] & posted[other] & posted[i]).argmax(axis=1)
-                hit = other[(n >= MATCHES) & (first == here)]
-            out_a.append(np.full(len(hit), ids[i]))
-            out_b.append(ids[hit])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return np.minimum(a, b), np.maximum(a, b)
+def _by_group(rows: DataFrame, schema: str, work: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Runs `work` on each (v, block, probe), many to a task, streaming over sorted partitions."""
+    rows = rows.repartition("v", "block", "probe").sortWithinPartitions("v", "block", "probe", "role", "id")
+    places = [rows.columns.index(c) for c in ("v", "block", "probe")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            a, b = compare(held)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in places)))
             at = 0
             for i in range(1, len(keys) + 1):
                 if i == len(keys) or keys[i] != keys[at]:
-                    if last is not None and keys[at] != last and held:
-                        yield flush()
+                    if held and keys[at] != last:
+                        yield work(pa.Table.from_batches(held))
                         held.clear()
                     held.append(batch.slice(at, i - at))
                     last, at = keys[at], i
         if held:
-            yield flush()
+            yield work(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+
+def candidates(t: pa.Table, nearest: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Each asking row of a group with the rows of other components that have enough collisions with it; with `nearest`
+    only the one with most, else only those whose first common list this is."""
+    role, ids, comp, posted = (t.column(c).to_numpy() for c in ("role", "id", "comp", "posted"))
+    base = np.flatnonzero(role == 0)
+    if not len(base) or not role.any():
+        return
+    whole, tail = unpacked(t.column("sig").to_pylist())
+    bits = np.uint32(1) << np.arange(POSTED, dtype=np.uint32)
+    posted = posted.astype(np.uint32)[:, None] & bits != 0
+    here = int(t.column("v")[0].as_py()) >> 32
+    for i in np.flatnonzero(role == 1):
+        other = base[(comp[base] != comp[i]) & (ids[base] != ids[i])]
+        same = whole[other] == whole[i]
+        n = same.sum(axis=1) + (tail[other] == tail[i]).sum(axis=1)
+        if nearest:
+            hit = other[[n.argmax()]] if len(n) and n.max() >= MATCHES else other[:0]
+        else:
+            some = np.flatnonzero(n >= MATCHES)
+            hit = other[some[(same[some] & posted[other[some]] & posted[i]).argmax(axis=1) == here]] if len(some) else other[:0]
+        if len(hit):
+            yield i, hit
+
+
+def open_lists(posts: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """(v, role, block, probe, id, comp, sig, posted): members of lists that hold more than one component.
+
+    Members are cut into blocks that stay (role 0); those outside a list's largest component also ask (role 1) and meet
+    every block.
+    """
+    member = posts.join(comps, "id", "left").select("v", "id", F.coalesce("component", "id").alias("comp"))
+    sizes = member.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
+    lists = sizes.groupBy(F.col("v").alias("w")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("main_n"))
+    several = lists.filter("kinds > 1").select("w", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("main_n")) / BLOCK).cast("int").alias("probes"))
+    every = posts.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, int(shiftright(v, 32)))")).alias("posted"))
+    found = member.join(several, F.col("v") == F.col("w")).drop("w")
+    wide = found.join(classes.select("id", "sig"), "id").join(every, "id")
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    kept = wide.select("v", F.lit(0).alias("role"), spread("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("probe"), "id", "comp", "sig", "posted")
+    asked = wide.filter(F.col("comp") != F.col("main")).select("v", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), spread("probes", 2).alias("probe"), "id", "comp", "sig", "posted")
+    return kept.union(asked)
+
+
+def nearest_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): of each asking member the pair with most collisions in each block of its lists."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        ids, hits = t.column("id").to_numpy(), list(candidates(t, True))
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in hits], pa.int64()), pa.array([ids[h[0]] for _, h in hits], pa.int64())], names=["a", "b"])
+
+    return _by_group(rows, "a long, b long", work).distinct()
+
+
+def links_between(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components that share a list, on full sets.
+
+    A first pass finds on signatures which members of a block have candidates there; only these bring their sets into
+    the second, which compares inside tasks. So no pair comes out that is not a link, however many are almost alike.
+    """
+    columns = ["v", "role", "block", "probe", "id", "comp", "sig", "posted"]
+
+    def taking_part(t: pa.Table) -> pa.RecordBatch:
+        part: set[int] = set()
+        for i, hit in candidates(t, False):
+            part.add(int(i))
+            part.update(hit.tolist())
+        rows = t.take(pa.array(sorted(part), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else empty[c] for c in columns], names=columns)
+
+    schema = "v long, role int, block int, probe int, id long, comp long, sig binary, posted long"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    empty = {c: pa.array([], kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "))}
+    part = materialise(_by_group(rows.select(*columns), schema, taking_part), "members")
+    wide = part.join(sets.select("id", "shingles"), "id")
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        ids, sigs = t.column("id").to_numpy(), [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
+        sizes = np.asarray([len(x) for x in sigs])
+        words, place = np.unique(np.concatenate(sigs), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mark = np.zeros(len(words), np.int64)
+        out_a, out_b = [], []
+        for i, hit in candidates(t, False):
+            own = place[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[place], starts)[hit]
+            mark[own] = 0
+            hit = hit[100 * both >= percent * (sizes[hit] + sizes[i] - both)]
+            out_a += [int(ids[i])] * len(hit)
+            out_b += ids[hit].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return _by_group(wide, "a long, b long", compare)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -252,32 +344,44 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     full = signed.filter(F.col("cls").isNotNull())
     classes = materialise(full.groupBy("cls").agg(F.min("doc_id").cast("long").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")).filter(F.col("id").isNotNull()), "classes")
     posts = materialise(posted_values(classes), "posts")
-    wanted = posts.select("id").distinct()
-
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text")).join(wanted, "id", "left_semi")
+    # rows of a posted class meet its hash by id; the set of a row is cut in the same task and kept where it is the class's
+    wanted = classes.join(posts.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("class_id"), "cls", "sig")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(buckets, "id").join(wanted, F.col("id") == F.col("class_id")).select("id", "text", "cls", "sig")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # of repeated rows, which lie side by side here, one
+        last = None
         for batch in byte_slices(batches, "text"):
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "set_cls", "shingles"]
-            )
-
-    sets = rows.mapInArrow(cut, "id long, set_cls binary, shingles binary")
-    stands = classes.join(wanted, "id", "left_semi").select(F.col("id").alias("class_id"), "cls", "sig")
-    sets = sets.join(stands, (F.col("id") == F.col("class_id")) & (F.col("set_cls") == F.col("cls"))).select("id", "sig", "shingles", "cls").dropDuplicates(["id", "cls"])
-    sets = materialise(sets.select("id", "sig", "shingles"), "sets")
-
-    rank = F.struct(F.col("weight"), (-F.col("id")).alias("minus"))
-    centres = posts.groupBy(F.col("v").alias("w")).agg(F.max(rank).alias("top"))
+            ids, sets, ok = batch.column(0).to_pylist(), [], []
+            for i, t, c in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if i != last:
+                    seen.clear()
+                    last = i
+                s = shingles(t, words)
+                ok.append(c not in seen and xxhash.xxh3_128_digest(s.tobytes()) == c)
+                sets.append(s.astype("<u8").tobytes() if ok[-1] else b"")
+                if ok[-1]:
+                    seen.add(c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sets, pa.binary())], names=["id", "sig", "shingles"]).filter(pa.array(ok, pa.bool_()))
+
+    sets, table = keep_by_id(rows.sortWithinPartitions("id").mapInArrow(cut, "id long, sig binary, shingles binary"))
+
+    centres = posts.groupBy(F.col("v").alias("w")).agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("minus"))).alias("top"))
     best = posts.join(centres, F.col("v") == F.col("w")).groupBy("id").agg(F.max("top").alias("top"))
     star = best.select(F.col("id").alias("a"), (-F.col("top")["minus"]).alias("b")).filter("a <> b")
-    star_links = materialise(confirm(star, sets, percent), "links")
-    comps, links = components(star_links), star_links
-    for nearest in (True, False):  # first what most likely joins components, then every pair that is still between two
-        pairs = materialise(list_pairs(posts, comps, classes, nearest), "pairs")
-        links = materialise(links.union(confirm(pairs, sets, percent)), "links")
-        comps = components(links)
+    star = materialise(alike(materialise(star, "star"), sets), "star")
+    links = materialise(ordered(confirm(star, sets, percent)), "links")
+    comps = components(links)
+    # then what most likely joins components, and last all that could still join two
+    pairs = materialise(nearest_pairs(open_lists(posts, comps, classes)), "pairs")
+    links = materialise(ordered(links.union(confirm(pairs, sets, percent))), "links")
+    comps = components(links)
+    more = links_between(open_lists(posts, comps, classes), sets, percent)
+    links = materialise(ordered(links.union(more)), "links")
+    comps = components(links)
+    docs.sparkSession.sql(f"DROP TABLE {table}")  # its name only
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     # a row finds its class, the class its component: the class side has one row per set, the rows may be hot
     named = classes.join(comps, "id", "left").join(degree, "id", "left").select(F.col("cls").alias("class"), "id", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("links"))
