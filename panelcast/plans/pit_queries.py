@@ -230,7 +230,7 @@ def event_rating_gap(spark, sf):
 def season_turnover_ratings(spark, sf):
     """Whole leagues by region and season, sides dropping out and returning; checked by tests."""
     d = match_panel(spark, sf).where("(home + season) % 5 <> 0 AND (away + season) % 5 <> 0").withColumn("league", F.col("region").cast("bigint"))
-    return elo.closing_ratings(elo.rating_history(elo.replay(d, MATCH_ORDER)))
+    return elo.closing_ratings(elo.rating_history(elo.replay(d, MATCH_ORDER))).drop("valid_from")
 
 
 @query("panel_rating_gap")

@@ -90,14 +90,24 @@ def test_a_first_deadline_sees_promoted_sides_seated(spark, replayed):
     assert elo.attach_gap(rows, elo.rating_history(replayed), "at").first()["rating_gap"] is not None
 
 
-def test_a_history_cut_in_two_gives_the_same_ratings(spark):
-    data = [(1, *m) for m in league(1)]
-    whole = elo.closing_ratings(elo.rating_history(elo.replay(spark.createDataFrame(data, SCHEMA))))
-    first = elo.closing_ratings(elo.rating_history(elo.replay(spark.createDataFrame([m for m in data if m[1] == 0], SCHEMA))))
-    rest = elo.replay(spark.createDataFrame([m for m in data if m[1] > 0], SCHEMA), initial=first)
-    a = {r["side"]: r["rating"] for r in whole.collect()}
-    b = {r["side"]: r["rating"] for r in elo.closing_ratings(elo.rating_history(rest)).collect()}
-    assert {k: a[k] for k in b} == pytest.approx(b, abs=1e-9)
+def closing(replayed):
+    return elo.closing_ratings(elo.rating_history(replayed))
+
+
+@pytest.mark.parametrize("cut", [364, 400, 365 + 364, 365 * 2 + 20], ids=["first_turnover", "inside_second", "second_turnover", "inside_third"])
+def test_a_history_cut_in_two_gives_the_same_ratings(spark, cut):
+    """Side 5 leaves after the first season and returns in the third, side 6 plays the second alone."""
+    data = [(lg, s, *m, h if (s, h) != (2, 7) else 5, a if (s, a) != (2, 7) else 5, x, y) for lg in (1, 2) for s, *m, h, a, x, y in league(lg)]
+    sides = sorted({(m[0], m[1], side) for m in data for side in m[3:5]})
+    members = spark.createDataFrame(sides, "league bigint, season int, side bigint")
+    day = DAY + datetime.timedelta(cut)
+    parts = [spark.createDataFrame(rows, SCHEMA) for rows in ([m for m in data if m[2] <= day], [m for m in data if m[2] > day])]
+    first = closing(elo.replay(parts[0], members=members))
+    known = {(r["league"], r["side"]): r["rating"] for r in first.collect()}
+    known |= {(r["league"], r["side"]): r["rating"] for r in closing(elo.replay(parts[1], initial=first, members=members)).collect()}
+    for lg in (1, 2):
+        want = brute([m[1:] for m in data if m[0] == lg])[0][-1][1]
+        assert {side: rating for (g, side), rating in known.items() if g == lg} == pytest.approx(want, abs=1e-9)
 
 
 def test_ratings_are_conserved_and_turnover_runs_on_the_tables(spark, sf):
