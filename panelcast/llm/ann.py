@@ -6,7 +6,8 @@ together, one bit at a time, until they hold enough candidates between them. Vec
 coordinate, so that the smallest angle is the largest inner product, whatever the lengths.
 
 Arrays are cut by the first bits of their strings into cells that are sorted and searched by themselves; large cells are
-cut further into blocks, each of which meets the queries of its cell. Candidates are scored where they lie, in double
+cut further into blocks, each of which meets the queries of its cell. A query whose own cells hold too little ascends
+past their borders and visits all cells below its shorter prefix, up to whole trees. Candidates are scored where they lie, in double
 precision, and only the nearest of each block come out. Equal vectors share one entry.
 """
 
@@ -46,6 +47,12 @@ def strings(x: np.ndarray, tree: int) -> np.ndarray:
     return (bits << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def cell_bits(n: int, trees: int, cell: int, target: int) -> int:
+    """First bits of a string that name its cell: cells hold `cell` entries at least and all trees' cells of a query
+    hold `target` between them, both on average."""
+    return max(0, int(np.log2(max(min(n / cell, trees * n / target), 1))))
+
+
 def usable(vector: Column) -> Column:
     """Neither null nor empty nor zero, and all components finite."""
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -147,8 +154,9 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     """query_id, rank, vec_id, score: for each query its `k` nearest found rows other than itself, ties to the smaller id.
 
     `queries` and `rows` hold key and vector. Vectors that are null, empty, zero or not finite take no part, nor rows
-    with a null key; vectors of different dimensions do not meet. Repeated ids with one vector count once. A query whose
-    trees hold fewer than `k` rows between them ascends to the root: it is held against all vectors, in blocks.
+    with a null key; vectors of different dimensions do not meet. Repeated ids with one vector count once. A query looks
+    at `share` of all vectors and PER_NEIGHBOUR for each neighbour at least, or at its whole trees where these hold less. One whose
+    trees hold fewer than `k` rows between them is held against all vectors, in blocks.
     """
     good = F.col(key).isNotNull() & usable(F.col(vector))
     slim = lambda df: df.filter(good).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -159,15 +167,15 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     lengths = index.mapInArrow(_lengths, "n double")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("longest")).first()
     n, longest = stats["n"], stats["longest"] or 1.0
-    prefix = max(0, int(np.log2(max(n / cell, 1))))
+    target = int(share * n) + PER_NEIGHBOUR * k
+    prefix = cell_bits(n, trees, cell, target)
     entries = strings_of(index, trees, longest, prefix, False)
     found = strings_of(questions, trees, longest, prefix, True)
     place = ("dim", "tree", "cell")
-    sizes = entries.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = materialise(entries.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), "cells")
+    sizes = held.select(*place, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # a cell is cut into as many blocks as its own entries need
     entries = entries.join(sizes, list(place)).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")).drop("blocks")
-    found = found.join(sizes, list(place))
-    target = int(share * n) + PER_NEIGHBOUR * k
 
     # descent: how many entries share each prefix length with the query, summed over the trees; then the common level
     def levels(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -184,13 +192,20 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         yield pa.RecordBatch.from_arrays([t.column("qid").combine_chunks().take(pa.array(at)), pa.array(list(counts), pa.list_(pa.int64()))], names=["qid", "n"])
 
     chunk = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-questions.count() // QUERY_BLOCK)))).cast("int")
-    probe = found.select(*place, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "s", "qid", "vec")
+    per_block = lambda df, *more: df.join(sizes, list(place)).select(*place, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "s", "qid", "vec", *more)
+    probe = per_block(found)
     strings_only = entries.select(*place, "block", F.lit(0).alias("role"), "s", F.lit(None).cast("long").alias("qid")).union(probe.drop("vec"))
     per_tree = _grouped(strings_only, "qid long, n array<long>", levels, (*place, "block"), ("role",))
     summed = per_tree.select("qid", F.posexplode("n").alias("d", "n")).groupBy("qid", "d").agg(F.sum("n").alias("n"))
-    level = materialise(summed.groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("n") >= target, F.col("d"))), F.lit(prefix)).cast("int").alias("level")), "levels")
-
-    # ascent: every tree gives the entries at the common level
+    # above the cells, whole cells are counted; a query that finds too little in whole trees takes them all
+    above = F.explode(F.sequence(F.lit(0), F.lit(prefix))).alias("d")
+    up = lambda df: df.withColumn("top", F.expr(f"shiftright(cell, {prefix} - d)"))
+    wider = up(held.select("*", above)).groupBy("dim", "tree", "d", "top").agg(F.sum("n").alias("n"))
+    over = up(found.select("qid", *place, above)).join(wider, ["dim", "tree", "d", "top"]).groupBy("qid", "d").agg(F.sum("n").alias("n"))
+    enough = summed.union(over).groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("n") >= target, F.col("d"))), F.lit(0)).cast("int").alias("level"))
+    level = materialise(enough, "levels")
+
+    # ascent: every tree gives the entries at the common level, from all cells below it
     def nearest(t: pa.Table) -> Iterator[pa.RecordBatch]:
         role = t.column("role").to_numpy()
         at, base = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
@@ -211,7 +226,11 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
             _take_nearest(x[a:b], ids[a:b], q[i], qid[i], k, out_q, out_id, out_s)
         yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    asked_at = probe.join(level, "qid").withColumn("chunk", chunk)
+    beyond = F.greatest(F.lit(prefix) - F.col("level"), F.lit(0))
+    first = F.expr("shiftleft(shiftright(cell, beyond), beyond)")
+    below = F.explode(F.sequence(first, first + F.expr("shiftleft(1L, beyond)") - 1)).alias("cell")
+    visits = found.join(level, "qid").withColumn("beyond", beyond).select("qid", "vec", "dim", "tree", "s", "level", below)
+    asked_at = per_block(visits, "level").withColumn("chunk", chunk)
     chunks = asked_at.groupBy(*place, "block").agg(F.collect_set("chunk").alias("chunks"))  # of at most the number of query blocks
     stored = entries.join(chunks, [*place, "block"]).select(*place, "block", F.explode("chunks").alias("chunk"), F.lit(0).alias("role"), "s", F.lit(None).cast("long").alias("qid"), F.lit(None).cast("int").alias("level"), "ids", "vec")
     both = stored.union(asked_at.select(*place, "block", "chunk", "role", "s", "qid", "level", F.lit(None).cast("array<long>").alias("ids"), "vec"))

@@ -95,3 +95,23 @@ def test_recall_over_lengths_and_blocks(spark, monkeypatch):
     got, want = run(spark, rows, queries, cell=300), exact(rows, queries)
     found = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
     assert found / (20 * len(want)) >= 0.9
+
+
+def test_ascent_passes_the_borders_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_NEIGHBOUR", 1)
+    rng = np.random.default_rng(4)
+    # most vectors lie to one side, so that the other side's cells hold little
+    rows = [(i, (rng.standard_normal(24) + 0.5 * (i % 4 > 0)).astype("f4").tolist()) for i in range(4_000)]
+    queries = [(10_000 + i, (rng.standard_normal(24) - 0.3).astype("f4").tolist()) for i in range(40)]
+    assert ann.cell_bits(4_000, 8, 20, int(1.5 * 4_000) + 20) == 2
+    got, want = run(spark, rows, queries, trees=8, cell=20, share=1.5), exact(rows, queries)
+    found = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+    assert found / (20 * len(want)) >= 0.85
+    # a share that only whole trees hold is everything
+    assert run(spark, rows, queries[:5], trees=8, cell=20, share=8.0) == exact(rows, queries[:5])
+
+
+def test_cells_hold_what_the_share_promises():
+    for n in (5_000, 48_000, 100_000, 1_000_000, 10**9):
+        target = int(ann.SHARE * n) + ann.PER_NEIGHBOUR * 20
+        assert ann.TREES * n / 2 ** ann.cell_bits(n, ann.TREES, ann.CELL, target) >= target
