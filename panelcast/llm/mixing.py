@@ -2,22 +2,28 @@
 
 A source of weight w (a share of all slots) gets block k the window [floor(k / w), ceil((k + 1) / w)): its release time
 and its deadline. Earliest deadline first over released blocks places every block inside its window, so that at any
-time a source is less than one block away from its due share. Weights are whole slots of a period, so the schedule
-repeats: only one period is scheduled, and block k of a source lies in period k div slots. When a source runs dry its
-slots stay empty and the others keep their proportions; no row is dropped or repeated.
+time a source is less than one block away from its due share. Weights are taken as they are, as ratios of whole numbers,
+and every block has its own window. A caller that names a period gets weights rounded to whole slots of it and a schedule
+that repeats: block k of a source lies in period k div slots. When a source runs dry the others keep their windows, and
+slots for which nothing is released stay empty; no row is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.llm.common import OWN, number_rows, spread_key
 
-#: Slots of a period: the resolution of weights, and the size of the schedule table.
+#: Slots of a period by default, where one is asked for: the resolution of its weights, and the size of its table.
 PERIOD = 1000
 #: Documents of a block.
 BLOCK_ROWS = 8
@@ -57,23 +63,88 @@ def pfair_period(slots: Mapping[str | None, int]) -> list[tuple[str | None, int,
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD, power: float = POWER) -> DataFrame:
-    """All columns of `docs` and: block, release, deadline, slot, place (in the block), prefixed with the operator's own mark.
+def whole_parts(weights: Sequence[float]) -> list[int]:
+    """The weights times one factor that makes all of them whole, without rounding: a float is a ratio of whole numbers."""
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*(x.denominator for x in exact))
+    return [int(x * unit) for x in exact]
+
+
+def pfair_blocks(parts: Sequence[int], blocks: Sequence[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block by earliest deadline first, ties to the first source.
+
+    A source's weight is its share of the sum of `parts`. Only blocks that exist compete, one of each source at a time.
+    """
+    total = sum(parts)
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]
+    ready: list[tuple[int, int, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // parts[i]), i, k, release))
+        deadline, i, k, release = heapq.heappop(ready)
+        yield i, k, release, deadline, slot
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, ((k + 1) * total // parts[i], i, k + 1))
+        slot += 1
+
+
+def block_schedule(spark: SparkSession, kind: T.DataType, weights: Mapping[str | None, float], counts: Mapping[str | None, int], block_rows: int) -> DataFrame:
+    """s, kk, release, deadline, slot, weight: a row per block. One task deals all blocks in turn, holding one of each source.
+
+    Sources whose weight is not positive have no share; their rows follow after all others, by their numbers of rows.
+    """
+    names = sorted(counts, key=lambda s: (s is None, s or ""))
+    runs = [[i for i, s in enumerate(names) if (weights[s] > 0) is share] for share in (True, False)]
+    plans = [(own, whole_parts([weights[names[i]] if share else counts[names[i]] for i in own]), [-(-counts[names[i]] // block_rows) for i in own]) for own, share in zip(runs, (True, False))]
+    fields = [f"{OWN}{c}" for c in ("i", "kk", "release", "deadline", "slot")]
+
+    def deal(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = 0
+        for own, parts, blocks in plans:
+            dealt, slot = pfair_blocks(parts, blocks), -1
+            while rows := list(islice(dealt, 20_000)):
+                slot = rows[-1][4]
+                moved = [(own[i], k, release + start, deadline + start, at + start) for i, k, release, deadline, at in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*moved)], names=fields)
+            start += slot + 1
+
+    whole = sum(plans[0][1])
+    share = {i: w / whole for i, w in zip(*plans[0][:2])}
+    named = spark.createDataFrame(
+        [(s, i, share.get(i, 0.0)) for i, s in enumerate(names)],
+        T.StructType([T.StructField(f"{OWN}s", kind), T.StructField(f"{OWN}i", T.LongType()), T.StructField(f"{OWN}weight", T.DoubleType())]),
+    )
+    blocks = spark.range(0, 1, 1, 1).mapInArrow(deal, ", ".join(f"{c} long" for c in fields))
+    return blocks.join(named, f"{OWN}i").drop(f"{OWN}i")
+
+
+def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, power: float = POWER) -> DataFrame:
+    """All columns of `docs` and: block, release, deadline, slot, place (in the block), weight, prefixed with the operator's own mark.
 
     Rows of a source are numbered in hash order of their key; a source may hold most rows. Sources without a weight, and
-    all sources where `weights` is None, weigh their number of rows to `power`, in relation to the others. A null source is a source. Counts per source
-    and the period's table are bounded by `period`; more sources are refused. An empty table gives no rows.
+    all sources where `weights` is None, weigh their number of rows to `power`, in relation to the others. A null source is a source. With a
+    `period`, weights are rounded to whole slots of it, and more sources than slots are refused. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    counts = {r[0]: r[1] for r in docs.groupBy(source).count().limit(period + 1).collect()}
+    sizes = docs.groupBy(source).count()
+    counts = {r[0]: r[1] for r in (sizes if period is None else sizes.limit(period + 1)).collect()}
     natural = {s: float(n) ** power for s, n in counts.items()}
     if weights is not None:
         known = sum(natural[s] for s in natural if s in weights) or 1.0
         scale = sum(weights[s] for s in natural if s in weights) / known
         natural = {s: float(weights[s]) if s in weights else n * scale for s, n in natural.items()}
-    table = schedule_table(spark, docs.schema[source].dataType, natural, period)
     numbered = number_rows(docs.withColumn(f"{OWN}order", spread_key(key)), [source], [f"{OWN}order", key], f"{OWN}row")
     numbered = numbered.withColumn(f"{OWN}block", F.floor(F.col(f"{OWN}row") / block_rows).cast("long"))
+    place = (F.col(f"{OWN}row") % block_rows).alias(f"{OWN}place")
+    if period is None:
+        table = block_schedule(spark, docs.schema[source].dataType, natural, counts, block_rows)
+        rows = numbered.join(table, F.col(source).eqNullSafe(F.col(f"{OWN}s")) & (F.col(f"{OWN}block") == F.col(f"{OWN}kk")), "left")
+        return rows.select(*[F.col(c) for c in docs.columns], *[f"{OWN}{c}" for c in ("block", "release", "deadline", "slot")], place, f"{OWN}weight")
+    table = schedule_table(spark, docs.schema[source].dataType, natural, period)
     slots = F.broadcast(table.groupBy(f"{OWN}s").agg(F.count(F.lit(1)).alias(f"{OWN}w")))
     rows = numbered.join(slots, F.col(source).eqNullSafe(F.col(f"{OWN}s")), "left").drop(f"{OWN}s")
     turn, inside = F.floor(F.col(f"{OWN}block") / F.col(f"{OWN}w")), F.col(f"{OWN}block") % F.col(f"{OWN}w")
@@ -83,15 +154,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     return rows.select(
         *[F.col(c) for c in docs.columns], F.col(f"{OWN}block"), (F.col(f"{OWN}release") + move).alias(f"{OWN}release"),
         (F.col(f"{OWN}deadline") + move).alias(f"{OWN}deadline"), (F.col(f"{OWN}slot") + move).alias(f"{OWN}slot"),
-        (F.col(f"{OWN}row") % block_rows).alias(f"{OWN}place"), F.col(f"{OWN}w").alias(f"{OWN}slots_per_period"),
+        place, (F.col(f"{OWN}w") / period).alias(f"{OWN}weight"),
     )
 
 
 def schedule_table(spark: SparkSession, kind, weights: Mapping[str | None, float], period: int = PERIOD) -> DataFrame:
     """The period as a table of at most `period` rows."""
     rows = pfair_period(whole_slots(weights, period)) if weights else []
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField(f"{OWN}s", kind)] + [T.StructField(f"{OWN}{c}", T.LongType()) for c in ("kk", "release", "deadline", "slot")])
     return spark.createDataFrame(rows, schema)
 

@@ -23,7 +23,7 @@ def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "source"))
-    own = {c: F.col(f"{OWN}{c}").alias(c) for c in ("slots_per_period", "block", "release", "deadline", "slot", "place")}
+    own = {c: F.col(f"{OWN}{c}").alias(c) for c in ("weight", "block", "release", "deadline", "slot", "place")}
     return mixed.select("doc_id", "source", *own.values())
 
 

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from math import comb
 
 import brute
@@ -88,6 +89,44 @@ def test_mixing_stays_within_a_block_of_the_weights():
         assert slot == n - 1 and all(abs(seen[s] - n * w / 1000) < 1 for s, w in slots.items())
 
 
+@pytest.mark.parametrize("n", [20, 500])
+def test_blocks_stay_within_one_of_the_given_weights(n):
+    weights = [(n / 2) ** 0.7] + [(1 + i % 7 / 10) ** 0.7 for i in range(n - 1)]
+    parts = mixing.whole_parts(weights)
+    total = sum(parts)
+    assert all(Fraction(p, q) == Fraction(v) / Fraction(w) for p, q, v, w in zip(parts, parts[1:], weights, weights[1:]))
+    seen, worst = [0] * n, 0
+    for at, (i, k, release, deadline, slot) in enumerate(mixing.pfair_blocks(parts, [10**6] * n)):
+        if at == 6_000:
+            break
+        assert slot == at and release == k * total // parts[i] <= slot < deadline == -(-(k + 1) * total // parts[i]) and k == seen[i]
+        seen[i] += 1
+        if at % 37 == 0:
+            worst = max(worst, *(abs(seen[s] * total - (at + 1) * p) for s, p in enumerate(parts)))
+    assert worst < total
+
+
+def test_mixing_keeps_exact_weights_over_many_periods(spark):
+    # a third of the rows in one of twenty sources: whole slots of a period lag by almost three blocks each time round
+    docs = spark.range(72_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "s00").otherwise(F.format_string("s%02d", F.col("id") % 19 + 1)).alias("source"))
+    got = mixing.mix_sources(docs).collect()
+    counts = Counter(r["source"] for r in got)
+    assert len(got) == 72_000 and len(counts) == 20
+    exact = {s: Fraction(float(n) ** mixing.POWER) for s, n in counts.items()}
+    total = sum(exact.values())
+    blocks = {(r["source"], r[f"{OWN}block"]): r for r in got}
+    assert len(blocks) == len({r[f"{OWN}slot"] for r in blocks.values()}) == sum(-(-n // mixing.BLOCK_ROWS) for n in counts.values())
+    for (s, k), r in blocks.items():
+        assert k * total // exact[s] == r[f"{OWN}release"] <= r[f"{OWN}slot"] < r[f"{OWN}deadline"] == -(-(k + 1) * total // exact[s])
+
+
+def test_sources_without_a_share_come_last(spark):
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(["a"] * 50 + ["b"] * 30 + [None] * 20)], "doc_id long, source string")
+    got = mixing.mix_sources(docs, weights={"a": 0.0, "b": 1.0}).collect()
+    last = max(r[f"{OWN}slot"] for r in got if r["source"] != "a")
+    assert len(got) == 100 and all(r[f"{OWN}slot"] > last for r in got if r["source"] == "a")
+
+
 def test_mixture_order_is_the_files_order(spark, documents):
     from panelcast.session import scratch_path
 
