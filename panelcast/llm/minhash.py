@@ -14,7 +14,7 @@ the full sets. Components are closed over the confirmed links.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-
+from math import comb
 from uuid import uuid4
 
 import numpy as np
@@ -29,9 +29,33 @@ from panelcast.session import materialise, scratch_path
 
 #: Words of a shingle, and the similarity of linked documents in percent (intersection to union).
 WORDS, PERCENT = 5, 85
-#: Coordinates of a signature; of these the first POSTED are posted, and SHARED of them must agree. At a
-#: similarity of 0.85 the chance that a pair agrees in fewer is under 1e-6, and in fewer than MATCHES of all about 1e-5.
-COORDINATES, POSTED, SHARED, MATCHES = 128, 32, 16, 91
+#: Coordinates of a signature; of these the first POSTED are posted.
+COORDINATES, POSTED = 128, 32
+#: Chances that a pair at exactly the asked similarity agrees in too few posted coordinates, and in too few of all.
+MISS_POSTED, MISS_ALL = 1e-6, 3e-5
+
+
+def least_agreement(n: int, percent: int, miss: float) -> int:
+    """The most coordinates of `n` that can be asked to agree while a pair at this similarity fails with a chance under `miss`; one at least."""
+    p, below = percent / 100, 0.0
+    for k in range(n + 1):
+        below += comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below >= miss:
+            return max(1, k)
+    return n
+
+
+def shared_at(percent: int) -> int:
+    """Posted coordinates in which a pair of this similarity must agree."""
+    return least_agreement(POSTED, percent, MISS_POSTED)
+
+
+def matches_at(percent: int) -> int:
+    """Coordinates of the whole signature in which it must."""
+    return least_agreement(COORDINATES, percent, MISS_ALL)
+
+
+SHARED, MATCHES = shared_at(PERCENT), matches_at(PERCENT)
 #: List members compared at once.
 BLOCK = 1024
 
@@ -119,7 +143,7 @@ def sign(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def posted_values(classes: DataFrame) -> DataFrame:
+def posted_values(classes: DataFrame, shared_least: int = SHARED) -> DataFrame:
     """(id, v, weight): the posted values of each class and its centrality, the sum of its lists' lengths."""
     schema = "id long, v long"
 
@@ -136,7 +160,7 @@ def posted_values(classes: DataFrame) -> DataFrame:
     found = values.join(shared, F.col("v") == F.col("w")).select("id", "v", "df")
     per = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"), F.sum("df").alias("weight"))  # at most POSTED each
     # values that no other class has are the rarest; they take the first places of the prefix
-    take = F.size("shared") - SHARED + 1
+    take = F.size("shared") - shared_least + 1
     return per.filter(take > 0).select("id", "weight", F.explode(F.slice("shared", F.lit(1), take)).alias("x")).select("id", F.col("x")["v"].alias("v"), "weight")
 
 
@@ -164,14 +188,14 @@ def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return left.join(right, "b").select("a", "b", "x", "y")
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame, matches: int = MATCHES) -> DataFrame:
     """The pairs (a, b) whose signatures agree in enough places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _arrays(batches):
             (wa, ta), (wb, tb) = unpacked(batch.column(2).to_pylist()), unpacked(batch.column(3).to_pylist())
             n = (wa == wb).sum(axis=1) + (ta == tb).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(n >= MATCHES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(n >= matches))
 
     return _beside(pairs, sets, "sig").mapInArrow(run, "a long, b long")
 
@@ -238,7 +262,7 @@ def _by_group(rows: DataFrame, schema: str, work: Callable[[pa.Table], pa.Record
     return rows.mapInArrow(run, schema)
 
 
-def candidates(t: pa.Table, nearest: bool) -> Iterator[tuple[int, np.ndarray]]:
+def candidates(t: pa.Table, nearest: bool, matches: int = MATCHES) -> Iterator[tuple[int, np.ndarray]]:
     """Each asking row of a group with the rows of other components that have enough collisions with it; with `nearest`
     only the one with most, else only those whose first common list this is."""
     role, ids, comp, posted = (t.column(c).to_numpy() for c in ("role", "id", "comp", "posted"))
@@ -254,9 +278,9 @@ def candidates(t: pa.Table, nearest: bool) -> Iterator[tuple[int, np.ndarray]]:
         same = whole[other] == whole[i]
         n = same.sum(axis=1) + (tail[other] == tail[i]).sum(axis=1)
         if nearest:
-            hit = other[[n.argmax()]] if len(n) and n.max() >= MATCHES else other[:0]
+            hit = other[[n.argmax()]] if len(n) and n.max() >= matches else other[:0]
         else:
-            some = np.flatnonzero(n >= MATCHES)
+            some = np.flatnonzero(n >= matches)
             hit = other[some[(same[some] & posted[other[some]] & posted[i]).argmax(axis=1) == here]] if len(some) else other[:0]
         if len(hit):
             yield i, hit
@@ -281,11 +305,11 @@ def open_lists(posts: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFr
     return kept.union(asked)
 
 
-def nearest_pairs(rows: DataFrame) -> DataFrame:
+def nearest_pairs(rows: DataFrame, matches: int = MATCHES) -> DataFrame:
     """(a, b): of each asking member the pair with most collisions in each block of its lists."""
 
     def work(t: pa.Table) -> pa.RecordBatch:
-        ids, hits = t.column("id").to_numpy(), list(candidates(t, True))
+        ids, hits = t.column("id").to_numpy(), list(candidates(t, True, matches))
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in hits], pa.int64()), pa.array([ids[h[0]] for _, h in hits], pa.int64())], names=["a", "b"])
 
     return _by_group(rows, "a long, b long", work).distinct()
@@ -297,11 +321,12 @@ def links_between(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A first pass finds on signatures which members of a block have candidates there; only these bring their sets into
     the second, which compares inside tasks. So no pair comes out that is not a link, however many are almost alike.
     """
+    matches = matches_at(percent)
     columns = ["v", "role", "block", "probe", "id", "comp", "sig", "posted"]
 
     def taking_part(t: pa.Table) -> pa.RecordBatch:
         part: set[int] = set()
-        for i, hit in candidates(t, False):
+        for i, hit in candidates(t, False, matches):
             part.add(int(i))
             part.update(hit.tolist())
         rows = t.take(pa.array(sorted(part), pa.int64()))
@@ -320,7 +345,7 @@ def links_between(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         mark = np.zeros(len(words), np.int64)
         out_a, out_b = [], []
-        for i, hit in candidates(t, False):
+        for i, hit in candidates(t, False, matches):
             own = place[starts[i] : starts[i] + sizes[i]]
             mark[own] = 1
             both = np.add.reduceat(mark[place], starts)[hit]
@@ -337,13 +362,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """One row per document: key, n_shingles, component_id (least key reachable over links), n_links, kept.
 
     n_links counts confirmed links that were needed to close the component, at most those that exist; equal sets are one
-    class. Empty texts are linked with nothing. Rows that share a key are one document with several texts; a row with
+    class. A link at exactly `percent` is missed with a chance under MISS_POSTED + MISS_ALL, more only where one shared coordinate is
+    too much to ask (under 31 percent). Empty texts are linked with nothing. Rows that share a key are one document with several texts; a row with
     a null key follows its class and is kept only where nothing else has its set. An empty table gives no rows.
     """
     signed = materialise(sign(docs, key, text, words), "signatures")
     full = signed.filter(F.col("cls").isNotNull())
     classes = materialise(full.groupBy("cls").agg(F.min("doc_id").cast("long").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")).filter(F.col("id").isNotNull()), "classes")
-    posts = materialise(posted_values(classes), "posts")
+    posts = materialise(posted_values(classes, shared_at(percent)), "posts")
     # rows of a posted class meet its hash by id; the set of a row is cut in the same task and kept where it is the class's
     wanted = classes.join(posts.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("class_id"), "cls", "sig")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -371,11 +397,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     centres = posts.groupBy(F.col("v").alias("w")).agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("minus"))).alias("top"))
     best = posts.join(centres, F.col("v") == F.col("w")).groupBy("id").agg(F.max("top").alias("top"))
     star = best.select(F.col("id").alias("a"), (-F.col("top")["minus"]).alias("b")).filter("a <> b")
-    star = materialise(alike(materialise(star, "star"), sets), "star")
+    star = materialise(alike(materialise(star, "star"), sets, matches_at(percent)), "star")
     links = materialise(ordered(confirm(star, sets, percent)), "links")
     comps = components(links)
     # then what most likely joins components, and last all that could still join two
-    pairs = materialise(nearest_pairs(open_lists(posts, comps, classes)), "pairs")
+    pairs = materialise(nearest_pairs(open_lists(posts, comps, classes), matches_at(percent)), "pairs")
     links = materialise(ordered(links.union(confirm(pairs, sets, percent))), "links")
     comps = components(links)
     more = links_between(open_lists(posts, comps, classes), sets, percent)

@@ -199,6 +199,25 @@ def test_a_similar_pair_is_missed_by_chance_in_few_cases():
     assert tail(minhash.POSTED, minhash.SHARED - 1) < 1e-5 and tail(minhash.COORDINATES, minhash.MATCHES - 1) < 3e-5
 
 
+@pytest.mark.parametrize("percent", [80, 55])
+def test_thresholds_follow_the_similarity(spark, percent):
+    # pairs just at and above the similarity, where thresholds made for 0.85 would lose some or all
+    rng, rows = np.random.default_rng(percent), []
+    for k in range(150):
+        words = [f"w{rng.integers(10**9)}" for _ in range(204)]
+        cut = int(200 * percent / 100) + k % 4
+        rows += [(2 * k, " ".join(words[: 4 + cut])), (2 * k + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs, percent=percent).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == sorted(brute.near_duplicates(rows, percent)) and sum(i != c for i, _, c in got) == 150
+    tail = lambda n, most: sum(comb(n, j) * (percent / 100) ** j * (1 - percent / 100) ** (n - j) for j in range(most + 1))
+    assert tail(minhash.POSTED, minhash.shared_at(percent) - 1) < minhash.MISS_POSTED and tail(minhash.COORDINATES, minhash.matches_at(percent) - 1) < minhash.MISS_ALL
+
+
+def test_the_contract_of_op3_keeps_its_thresholds():
+    assert (minhash.shared_at(85), minhash.matches_at(85)) == (16, 91)
+
+
 def test_keep_one_of_each_on_odd_rows(edge):
     got = minhash.keep_one_of_each(edge)
     ids = Counter(r["doc_id"] for r in got.collect())
