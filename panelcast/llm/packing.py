@@ -2,8 +2,8 @@
 
 The cost of a piece of n tokens in training is taken as linear * n + quadratic * n^2 (its own attention). Inside a
 window of consecutive documents, pieces go in descending order to the sequence of lowest cost that has room. As many
-sequences are opened as the window's tokens fill; a piece for which none of the lowest-cost sequences has room is cut
-and fills the gaps, so a window pads less than one sequence. Texts longer than a sequence first give full sequences.
+sequences are opened as the window's tokens fill; a piece for which no sequence has room is cut and fills the gaps, so a
+window pads less than one sequence. Texts longer than a sequence first give full sequences.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from panelcast.llm.common import byte_slices, word_ids
 CAPACITY = 2048
 #: Tokens of a window: bounds a task's memory; padding is under one sequence in this many tokens.
 WINDOW = 4_000_000
-#: Lowest-cost sequences asked for room before a piece is cut.
-TRIES = 16
 #: Cost of a token in the dense layers, and of a pair of tokens in attention, in relation to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 6144
 
@@ -50,19 +48,23 @@ def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, q
         used[s] += n
         cost[s] += linear * n + quadratic * n * n
 
-    lowest, uncut = [(0.0, s) for s in range(opened)], []
+    # The heap holds every sequence with room for the piece at hand; one without waits under its room until pieces are that small.
+    lowest, waiting, uncut, last = [(0.0, s) for s in range(opened)], [[] for _ in range(capacity)], [], capacity
     for n, doc, start in sorted(rest, key=lambda x: (-x[0], x[1])):
-        passed = []
-        while lowest and len(passed) < TRIES and used[lowest[0][1]] + n > capacity:
-            passed.append(heapq.heappop(lowest))
-        if lowest and used[lowest[0][1]] + n <= capacity:
+        for room in range(n, last):
+            for s in waiting[room]:
+                heapq.heappush(lowest, (cost[s], s))
+            waiting[room] = []
+        last = n
+        while lowest and used[lowest[0][1]] + n > capacity:
+            s = heapq.heappop(lowest)[1]
+            waiting[capacity - used[s]].append(s)
+        if lowest:
             s = lowest[0][1]
             place(s, doc, start, n)
-            heapq.heapreplace(lowest, (cost[s], s)) if used[s] < capacity else heapq.heappop(lowest)
+            heapq.heapreplace(lowest, (cost[s], s))
         else:
             uncut.append((n, doc, start))
-        for x in passed:
-            heapq.heappush(lowest, x)
     gaps = iter(sorted((s for s in range(opened) if used[s] < capacity), key=lambda s: (cost[s], s)))
     s = next(gaps, None)
     for n, doc, start in uncut:
@@ -101,7 +103,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, key: str = "do
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in byte_slices(batches, "text"):
-            new = [x + tail for x in encode(batch.column(1).to_pylist())]
+            new = [x + tail for x in encode(batch.column(1))]
             keys.append(batch.column(0))
             ids += new
             held += sum(map(len, new)) // 4

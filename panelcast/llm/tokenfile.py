@@ -38,7 +38,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary)
         for batch in byte_slices(batches, "text"):
-            ids = encode(batch.column(1).to_pylist())
+            ids = encode(batch.column(1))
             sizes = np.asarray([len(x) // 4 + 1 for x in ids], np.int32)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(tail.join([*ids, b""]))])

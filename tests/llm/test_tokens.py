@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelcast.llm import packing, tokencount, tokenfile
+from panelcast.llm import common, packing, tokencount, tokenfile
 from panelcast.session import scratch_path
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -108,6 +108,45 @@ def test_packing_balances_cost():
     assert n == -(-sum(lengths) // packing.CAPACITY) and cost.std() / cost.mean() < 0.1
 
 
+def whole_pieces(lengths, capacity):
+    """Brute force: each piece to the cheapest of all sequences that hold it whole."""
+    rest = sorted(((n % capacity, d) for d, n in enumerate(lengths) if n % capacity), key=lambda x: (-x[0], x[1]))
+    opened = -(-sum(n for n, _ in rest) // capacity)
+    used, cost, home = [0] * opened, [0.0] * opened, {}
+    for n, d in rest:
+        fits = [s for s in range(opened) if used[s] + n <= capacity]
+        if fits:
+            s = min(fits, key=lambda s: (cost[s], s))
+            used[s], cost[s], home[d] = used[s] + n, cost[s] + packing.LINEAR * n + packing.QUADRATIC * n * n, s
+    return home, sum(n // capacity for n in lengths)
+
+
+def test_every_sequence_is_asked_before_a_piece_is_cut():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        lengths = [int(x) for x in rng.choice([3, 7, 30, 61, 64, 90, 100, 250], 300)]
+        pieces, _ = packing.pack(lengths, 100)
+        home, full = whole_pieces(lengths, 100)
+        parts = defaultdict(list)
+        for d, start, n, s, _ in pieces:
+            if n < 100:
+                parts[d].append((n, s - full))
+        assert all(parts[d] == [(lengths[d] % 100, s)] for d, s in home.items())
+
+
+def test_frequent_words_outlive_an_overflow():
+    asked = []
+    memo = common.Memo(lambda pieces: [asked.append(p) or len(p) for p in pieces], 10)
+    for i in range(50):
+        memo.learn(["often", *(f"once{i}-{j}" for j in range(4))])
+        assert memo["often"] == 5 and memo[f"once{i}-3"] == len(f"once{i}-3")
+    assert asked.count("often") == 1 and len(memo.young) <= 10
+    for i in range(30):
+        memo.learn([f"w{i}", "often"])
+        memo.learn([f"w{i}", "often"])
+    assert asked.count("often") == 1 and len(memo) <= 12
+
+
 def test_null_keys_and_repeated_rows_are_packed(edge):
     assert packing.pack_documents(edge, WORD, 1).filter("start = 0").count() == edge.count()
 
