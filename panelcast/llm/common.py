@@ -142,6 +142,8 @@ def load_tokenizer(path: str):
 
 
 _WORD_MEMOS: dict[str, Memo] = {}
+#: Bytes of text encoded together: the more, the fewer distinct words are looked up twice.
+SLICE = 8 << 20
 #: Letters of one code point that lower-casing keeps single, then ASCII marks to the end.
 LETTERS_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: Words of letters encoded in one text.
@@ -173,7 +175,7 @@ def word_ids(path: str) -> Callable[[pa.Array], list[bytes]]:
 
     Such a vocabulary never joins characters across a space or line end, so texts are cut there, each distinct word is
     encoded once, and the ids of a text are its words' ids in a row. It also lower-cases and cuts between letters and
-    marks, so letters before marks have the ids of the lower-case letters and of the marks.
+    marks, so letters before marks have the ids of the lower-case letters and of the marks; most such words are cut in bulk.
     One memo lives in each worker process.
     """
     if path not in _WORD_MEMOS:
@@ -195,7 +197,10 @@ def word_ids(path: str) -> Callable[[pa.Array], list[bytes]]:
     memo = _WORD_MEMOS[path]
 
     def encode(texts: pa.Array) -> list[bytes]:
-        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # lower case must not turn a text into a special string
+            texts = pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), "([A-Za-z])([.,])", r"\1 \2")
+        words = pc.split_pattern(texts, " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         memo.learn(distinct)

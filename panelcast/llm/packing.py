@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import byte_slices, word_ids
+from panelcast.llm.common import SLICE, byte_slices, word_ids
 
 CAPACITY = 2048
 #: Tokens of a window: bounds a task's memory; padding is under one sequence in this many tokens.
@@ -102,7 +102,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, key: str = "do
             keys, ids, held, first = [], [], 0, first + n
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", SLICE):
             new = [x + tail for x in encode(batch.column(1))]
             keys.append(batch.column(0))
             ids += new

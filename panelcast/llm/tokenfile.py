@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import OWN, byte_slices, word_ids
+from panelcast.llm.common import OWN, SLICE, byte_slices, word_ids
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -37,7 +37,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary)
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", SLICE):
             ids = encode(batch.column(1))
             sizes = np.asarray([len(x) // 4 + 1 for x in ids], np.int32)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
