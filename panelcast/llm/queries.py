@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import ann, html, minhash, mixing, packing, quality, sharding, tokencount, tokenfile, toxicity
+from panelcast.llm import ann, html, merkle, minhash, mixing, packing, quality, sharding, tokencount, tokenfile, toxicity, vectorcode, warc
 from panelcast.llm.common import OWN, read, vocabulary
 from panelcast.llm.sql import SQL
 from panelcast.session import scratch_path
@@ -62,11 +62,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    return warc.page_digests(warc.read_archives(spark, path, with_payload=False))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.code_table(read(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(merkle.manifest(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree_sharding, op2_pfair_mixing, op3_minhash_near_duplicates, op4_cost_balanced_packing, op5_risk_controlled_quality,
         op6_hash_prefix_forest, op7_token_files, op8_main_text, op9_token_counts, op10_toxicity,
+        op11_warc_archives, op12_vector_codes, op13_merkle_manifest,
     )
 }
 
