@@ -105,7 +105,7 @@ class ArchiveWriter:
             dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, self.held // 8), [x[: 64 << 10] for x in self.waiting], k=256, d=8)
         except zstandard.ZstdError:
             pass  # too few or too small records; the format allows an archive without a dictionary
-        self.out = self.store.open_output_stream(f"{self.folder}/{self.name}")
+        self.out = self.store.open_output_stream(f"{self.folder}/{self.name}", compression=None)
         if dictionary is not None:
             raw = dictionary.as_bytes()
             self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
@@ -296,7 +296,7 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True, with_payl
         store, folder = open_store(path)
         count = 0
         try:
-            with store.open_input_stream(f"{folder}/{archive}") as stream:
+            with store.open_input_stream(f"{folder}/{archive}", compression=None) as stream:
                 for offset, data in frames(stream):
                     count += 1
                     try:
