@@ -9,31 +9,27 @@ from panelcast.operators import multipliers as mp
 from panelcast.session import materialise
 
 
-def training_pairs(rows: DataFrame, season: str = "season") -> DataFrame:
-    """Every row once per later season it trains for. A handful of seasons, so a row is copied that often."""
-    seasons = rows.select(season).distinct().agg(F.collect_set(season).alias("__all")).scalar()
-    later = F.filter("__all", lambda s: s > F.col(season))
-    return rows.withColumn("__all", seasons).withColumn("test_season", F.explode(later)).drop("__all")
-
-
 def lead_time_predictions(rows: DataFrame, points: str, first: int = 6, season: str = "season", entity: str = "entity",
-                          period: str = "period", position: str = "position", gap_then: str | None = None) -> DataFrame:
+                          period: str = "period", position: str = "position", ratings: DataFrame | None = None, deadlines: DataFrame | None = None) -> DataFrame:
     """`pred_none`, `pred_table` and `pred_line` for every (season, as-of, lead) with an earlier season to fit on.
 
-    `rows` are starts with ratio, level and gap. All seasons are fitted at once, keyed by the season they
-    predict. `gap_then` names the gap as known at the as-of period when it differs from the event's own.
+    `rows` are starts with ratio, level and gap. All seasons are fitted at once from sums by season, which add up to the sums
+    of all earlier ones, so no row is copied. With `ratings` (side, valid_from, rating) and `deadlines` (season, period,
+    deadline), a target's gap is the one known at its as-of period's deadline (`gap_then`); otherwise the event's own.
     """
-    keys = [season, entity]
-    # Read by three fits, the rates and the targets; fits are one row per season, position and level.
+    keys, by = [season, entity], [season]
+    # Read by the sums, the rates and the targets.
     rows = materialise(rows, "starts")
-    train = training_pairs(rows, season).where(F.col("ratio").isNotNull()).drop(season).withColumnRenamed("test_season", season)
-    by = [season]
-    overall = materialise(mp.overall_mean(train, by), "overall")
-    table, lines = mp.fit_table(train, by, position), mp.fit_line(train, by, position)
+    sums = mp.moments(rows, by, position).earlier(season)
+    overall = materialise(mp.overall_of(sums, by), "overall")
+    table, lines = mp.table_of(sums, by, position), mp.lines_of(sums, by, position)
     rates = mp.prior_rates(rows, keys, period, points)
     out = mp.lead_targets(rows, rates, keys, period, first=first).join(overall.select(season), season, "left_semi")
+    gap = "gap"
+    if ratings is not None:
+        out, gap = mp.with_gap_then(out, ratings, deadlines, season, period=period), "gap_then"
     out = mp.apply_table(out, table, overall, by, position, name="__table")
-    out = mp.apply_line(out, lines, overall, by, position, gap=gap_then or "gap", name="__line")
+    out = mp.apply_line(out, lines, overall, by, position, gap=gap, name="__line")
     out = out.join(overall, by)
     return out.withColumns({
         "pred_none": F.col("rate") * F.col("overall"), "pred_table": F.col("rate") * F.col("__table"),

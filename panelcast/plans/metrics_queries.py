@@ -260,35 +260,102 @@ lp AS (SELECT tt.*, rate * overall AS pred_none, rate * coalesce(m, overall) AS
        FROM tt JOIN ov USING (season) LEFT JOIN tb USING (season, position, level) LEFT JOIN li USING (season, position))"""
 
 
+def _draw_sql(rounds: int = 3) -> str:
+    """The draw of a slot, as the library makes it."""
+    x = "(7 * 1299709 + d * 7919 + i * 104729 + 12345) % 2147483648"
+    for _ in range(rounds):
+        step = f"((({x}) * 1103515245 + 12345) % 2147483648)"
+        x = f"xor({step}, {step} >> 15)"
+    return x
+
+
+DRAW_SQL = _draw_sql()
+
+# Starts between nations whose ratings move day by day: a fit sees the gap at the row's own deadline, a target the one at its as-of.
+RATED_SQL = STARTS_SQL.replace("AS DOUBLE) AS gap", "AS DOUBLE) AS gap0, s_nationkey AS side, c_nationkey AS opponent, l_partkey % 2 = 0 AS is_home").replace(
+    "ON l_orderkey = o_orderkey)", "ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey)").replace(
+    "st AS (", """dl AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, CAST(month(o_orderdate) AS INTEGER) AS period, CAST(min(o_orderdate) AS DATE) AS deadline
+       FROM orders GROUP BY ALL),
+hist AS (SELECT c_nationkey AS side, CAST(o_orderdate AS DATE) AS valid_from, CAST(1400 + sum(o_orderkey) % 401 AS DOUBLE) AS rating
+         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+si AS (SELECT DISTINCT side FROM hist),
+kn AS (SELECT a.season, a.period AS as_of, a.side, h.rating FROM (SELECT * FROM dl, si) a ASOF LEFT JOIN hist h ON a.side = h.side AND a.deadline > h.valid_from),
+st AS (""").replace("SELECT * EXCLUDE (minutes) FROM lines WHERE minutes >= 60", """SELECT l.* EXCLUDE (minutes, gap0), a.rating - b.rating + CASE WHEN is_home THEN 45 ELSE -45 END AS gap FROM lines l
+       LEFT JOIN kn a ON a.season = l.season AND a.as_of = l.period AND a.side = l.side
+       LEFT JOIN kn b ON b.season = l.season AND b.as_of = l.period AND b.side = l.opponent WHERE minutes >= 60""")
+RATED_PRIOR_SQL = PRIOR_SQL.replace("r.level, r.gap,", "r.level, r.gap, r.side, r.opponent, r.is_home,").replace("SELECT t.*, rt.rate FROM t JOIN rt USING (season, entity, as_of)", """
+  SELECT t.*, rt.rate, a.rating - b.rating + CASE WHEN is_home THEN 45 ELSE -45 END AS gap_then FROM t JOIN rt USING (season, entity, as_of)
+  JOIN dl ON dl.season = t.season AND dl.period = t.as_of LEFT JOIN kn a ON a.season = t.season AND a.as_of = t.as_of AND a.side = t.side
+  LEFT JOIN kn b ON b.season = t.season AND b.as_of = t.as_of AND b.side = t.opponent""")
+LEAD_SQL = "WITH " + RATED_SQL + RATED_PRIOR_SQL + FIT_BY_SEASON.replace("rate * coalesce(a + b * greatest(-300, least(300, gap)), overall) AS pred_line",
+                                                                         "rate * coalesce(a + b * CASE WHEN gap_then IS NOT NULL THEN greatest(-300, least(300, gap_then)) END, overall) AS pred_line")
+
+
+def rating_days(spark, sf):
+    """Ratings by nation and day, and the first day of every period."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    nations = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    history = orders.join(nations, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("side"), F.to_date("o_orderdate").alias("valid_from")).agg(
+        (1400 + F.sum("o_orderkey") % 401).cast("double").alias("rating"))
+    days = orders.groupBy(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("period")).agg(F.to_date(F.min("o_orderdate")).alias("deadline"))
+    return history, days
+
+
+def rated_starts(spark, sf):
+    """The starts with both sides and the rating gap at their own period's deadline."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    nations, makers = table(spark, sf, "customer").select("c_custkey", "c_nationkey"), table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    d = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(nations, F.col("o_custkey") == F.col("c_custkey")).join(makers, F.col("l_suppkey") == F.col("s_suppkey"))
+    d = d.select(
+        F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("period"), F.col("l_suppkey").alias("entity"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event"), position_of("l_suppkey").alias("position"),
+        F.expr("(l_orderkey * 7 + l_partkey) % 91").alias("minutes"), F.expr("cast(l_quantity as bigint) % 13").alias("points"),
+        F.expr("cast(l_partkey % 5 + 1 as int)").alias("level"), F.col("s_nationkey").alias("side"), F.col("c_nationkey").alias("opponent"), F.expr("l_partkey % 2 = 0").alias("is_home"))
+    d = pn.starters(d, positions=("GK", "DEF", "MID", "FWD")).drop("minutes")
+    history, days = rating_days(spark, sf)
+    d = mp.with_gap_then(d, history, days, as_of="period", period="period", name="gap")
+    return mp.season_ratio(d, ["season", "entity"], "points")
+
+
 def lead_predictions(spark, sf):
     from panelcast.plans.lead_time import lead_time_predictions
 
-    return lead_time_predictions(starts(spark, sf), "points", first=6)
+    history, days = rating_days(spark, sf)
+    return lead_time_predictions(rated_starts(spark, sf), "points", first=6, ratings=history, deadlines=days)
 
 
-@query("lead_time_predictions", "WITH " + STARTS_SQL + PRIOR_SQL + FIT_BY_SEASON + """
-SELECT season, entity, event, lead, as_of, round(pred_none, 5) AS pred_none, round(pred_table, 5) AS pred_table, round(pred_line, 5) AS pred_line FROM lp""")
+@query("lead_time_predictions", LEAD_SQL + """
+SELECT season, entity, event, lead, as_of, gap_then, round(pred_none, 5) AS pred_none, round(pred_table, 5) AS pred_table, round(pred_line, 5) AS pred_line FROM lp""")
 def lead_time_predictions(spark, sf):
     cols = ["pred_none", "pred_table", "pred_line"]
-    return rnd(lead_predictions(spark, sf).select("season", "entity", "event", "lead", "as_of", *cols), cols, 5)
+    return rnd(lead_predictions(spark, sf).select("season", "entity", "event", "lead", "as_of", "gap_then", *cols), cols, 5)
 
 
 _KINDS = {"none": "pred_none", "table": "pred_table", "line": "pred_line"}
-LEAD_SUMMARY = "WITH " + STARTS_SQL + PRIOR_SQL + FIT_BY_SEASON + ",\nlq AS (SELECT * REPLACE (round(pred_none, 6) AS pred_none, round(pred_table, 6) AS pred_table, round(pred_line, 6) AS pred_line) FROM lp)," + ",".join(
+LEAD_SUMMARY = LEAD_SQL + ",\nlq AS (SELECT * REPLACE (round(pred_none, 6) AS pred_none, round(pred_table, 6) AS pred_table, round(pred_line, 6) AS pred_line) FROM lp)," + ",".join(
     rho_sql("lq", "season, lead, as_of, position", "points", f"pred_{k}", f"c{k}", 10) + f""",
 x{k} AS (SELECT season, lead, as_of, avg(rho) AS r FROM c{k} GROUP BY ALL), y{k} AS (SELECT season, lead, avg(r) AS rank_{k} FROM x{k} GROUP BY ALL)"""
     for k in _KINDS) + """,
 z AS (SELECT season, lead, count(*) AS starts, """ + ", ".join(
-    f"avg(pow(pred_{k} - points, 2)) AS mse_{k}, avg(abs(pred_{k} - points)) AS mae_{k}" for k in _KINDS) + """ FROM lq GROUP BY ALL)
-SELECT season, lead, starts, """ + ", ".join(f"round({s}_{k}, 5) AS {s}_{k}" for k in _KINDS for s in ("mse", "mae", "rank")) + """
-FROM z JOIN ynone USING (season, lead) JOIN ytable USING (season, lead) JOIN yline USING (season, lead)"""
+    f"avg(pow(pred_{k} - points, 2)) AS mse_{k}, avg(abs(pred_{k} - points)) AS mae_{k}" for k in _KINDS) + """ FROM lq GROUP BY ALL),
+bb AS (SELECT season, lead, as_of, sum(pow(pred_line - points, 2) - pow(pred_table - points, 2)) AS s, count(*) AS n FROM lq GROUP BY ALL),
+bq AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY season, lead) AS k FROM bb WINDOW w AS (PARTITION BY season, lead ORDER BY as_of)),
+bd AS (SELECT season, lead, d, k, """ + DRAW_SQL + """ AS x
+       FROM bq CROSS JOIN (SELECT unnest(range(2000)) AS d) r),
+bm AS (SELECT bd.season, bd.lead, bd.d, sum(bq.s) / sum(bq.n) AS m FROM bd JOIN bq ON bq.season = bd.season AND bq.lead = bd.lead AND bq.i = (bd.x // 64) % bd.k GROUP BY ALL),
+bi AS (SELECT season, lead, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM bm GROUP BY ALL),
+be AS (SELECT season, lead, sum(s) / sum(n) AS apart FROM bb GROUP BY ALL)
+SELECT season, lead, starts, """ + ", ".join(f"round({s}_{k}, 5) AS {s}_{k}" for k in _KINDS for s in ("mse", "mae", "rank")) + """,
+  round(apart, 5) AS line_minus_table_mse, round(ci_low, 5) AS ci_low, round(ci_high, 5) AS ci_high
+FROM z JOIN ynone USING (season, lead) JOIN ytable USING (season, lead) JOIN yline USING (season, lead) JOIN bi USING (season, lead) JOIN be USING (season, lead)"""
 
 
 @query("lead_time_summary", LEAD_SUMMARY)
 def lead_time_summary(spark, sf):
     d = lead_predictions(spark, sf)
     d = rnd(d, list(_KINDS.values()))
-    out = mp.summarise_leads(d, _KINDS, "points")
+    out = mp.summarise_leads(d, _KINDS, "points", paired=("line", "table"))
     return rnd(out, [c for c in out.columns if c not in ("season", "lead", "starts")], 5)
 
 
@@ -296,9 +363,9 @@ BOOT_SQL = with_sql(LOG_SQL) + """,
 b AS (SELECT season, period, sum(actual - expected_points) AS s, count(*) AS n FROM log GROUP BY ALL),
 q AS (SELECT season, period, s, n, row_number() OVER (PARTITION BY season ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY season) AS k FROM b),
 d AS (SELECT season, d, i AS slot, k,
-             (((((7 * 1299709 + d * 7919 + i * 104729 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 AS x
+             """ + DRAW_SQL + """ AS x
       FROM q CROSS JOIN (SELECT unnest(range(2000)) AS d) r),
-m AS (SELECT d.season, d.d, sum(q.s) / sum(q.n) AS m FROM d JOIN q ON q.season = d.season AND q.i = (d.x // 65536) % d.k GROUP BY ALL)
+m AS (SELECT d.season, d.d, sum(q.s) / sum(q.n) AS m FROM d JOIN q ON q.season = d.season AND q.i = (d.x // 64) % d.k GROUP BY ALL)
 SELECT season, round(e.est, 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
 FROM m JOIN (SELECT season, sum(s) / sum(n) AS est FROM b GROUP BY season) e USING (season) GROUP BY season, e.est"""
 
