@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import asof, review as r
+from panelcast.operators import asof, elo, review as r
 from panelcast.plans.metrics_queries import rnd
-from panelcast.plans.panels import EV_SQL, LOG_SQL, ev_panel, log_panel, with_sql
-from panelcast.plans.pit_queries import CAP_SQL, capture_deadlines, captures
+from panelcast.plans.panels import EV_SQL, LOG_SQL, MATCH_ORDER, MATCH_SQL, ev_panel, log_panel, match_panel, with_sql
+from panelcast.plans.pit_queries import CAP_SQL, REPLAY_SQL, capture_deadlines, captures
 from panelcast.plans.registry import query, table
-from panelcast.session import scratch_path
+from panelcast.session import materialise, scratch_path
 from panelcast.sources import readers, sinks
 from panelcast.streaming import captures as st
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def years(spark, sf):
     """The years that orders were made in: one small row each."""
@@ -234,22 +237,63 @@ def capture_stream(spark, sf):
     return st.newest(spark, out, ["period", "entity"]).select("period", "entity", "xp", "role")
 
 
+def in_turn(df, label, time, cuts):
+    """The rows written as files that a stream reads one after the other: up to each cut of time, then the rest."""
+    path = scratch_path(df.sparkSession, label)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.where(F.col(time) >= low)
+        part = part if high is None else part.where(F.col(time) < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def event_stream(spark, sf):
+    """Events in four files by time, one a batch."""
+    d = table(spark, sf, "events")
+    cuts = d.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    cuts = [cuts["a"] + (cuts["b"] - cuts["a"]) * i / 4 for i in (1, 2, 3)] if cuts["a"] else []
+    return st.stream_table(spark, in_turn(d, "events-in", "ts", cuts), files_per_batch=1)
+
+
 @query("live_score_stream", with_sql(EV_SQL) + """
 SELECT day, user_id, arg_max(value, (ts, event_id)) AS latest, round(sum(value), 4) AS total, count(*) AS events FROM ev GROUP BY day, user_id""")
 def live_score_stream(spark, sf):
-    stream = st.stream_table(spark, f"{sf}/events.parquet").withColumn("day", F.dayofmonth("ts"))
-    out = st.run_available(st.live_scores(stream, ["day", "user_id"], "ts", "event_id", "value"), "live")
-    return rnd(out, ["total"], 4)
+    """Scores by user and day, updated as events come; the watermark closes past days."""
+    scores = st.live_scores(event_stream(spark, sf), ["user_id"], "ts", "event_id", "value")
+    out = st.run_available(scores, "live", ["window", "user_id"])
+    return rnd(out.select(F.dayofmonth("window.start").alias("day"), "user_id", "latest", "total", "events"), ["total"], 4)
 
 
 @query("windowed_score_stream", with_sql(EV_SQL) + """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, round(sum(value), 4) AS total, count(*) AS events FROM ev GROUP BY 1, 2""")
 def windowed_score_stream(spark, sf):
-    stream = st.stream_table(spark, f"{sf}/events.parquet")
-    out = st.run_available(st.windowed_scores(stream, ["event_type"], "ts", "value"), "windows")
+    out = st.run_available(st.windowed_scores(event_stream(spark, sf), ["event_type"], "ts", "value"), "windows", ["window", "event_type"])
     return rnd(out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "total", "events"), ["total"], 4)
 
 
+@query("rating_stream", with_sql(MATCH_SQL, REPLAY_SQL) + """
+SELECT league, CAST(side AS BIGINT) AS side, date AS valid_from, round(rating, 4) AS rating FROM hist""")
+def rating_stream(spark, sf):
+    """The rating history of all leagues from a stream of results in three batches, each continuing the state of the last."""
+    from panelcast.streaming import ratings as rt
+
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "home", "away", "home_goals", "away_goals", F.row_number().over(
+        Window.partitionBy("league", "date", *MATCH_ORDER).orderBy(F.lit(0))))
+    results = materialise(match_panel(spark, sf).withColumn("match", name).withColumn("of_month", F.dayofmonth("date")), "matches")
+    members = results.select("league", "season", F.explode(F.array("home", "away")).alias("side")).distinct()
+    stream = st.stream_table(spark, in_turn(results, "results-in", "of_month", [11, 21]), files_per_batch=1)
+    out, before = scratch_path(spark, "ratings"), spark.conf.get(STORE, None)
+    spark.conf.set(STORE, rt.ROCKS)
+    try:
+        st.run_updates(rt.replay_stream(stream, members, "match", MATCH_ORDER), out, rt.KEYS, scratch_path(spark, "ratings-ck"))
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+    history = elo.rating_history(st.read_updates(spark, out, rt.KEYS))
+    first = results.groupBy("league").agg(F.min("date").alias("opening"))
+    history = history.join(first, "league").where(F.col("valid_from") >= F.col("opening")).drop("opening", "season")
+    return rnd(history, ["rating"], 4)
+
+
 @query("match_states", """SELECT o_custkey AS home, o_orderkey AS away, o_orderkey % 3 = 0 AS started, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus = 'F' END, FALSE) AS finished FROM orders WHERE o_orderkey % 7 <> 0""")
 def match_states(spark, sf):
     k = F.col("o_orderkey")

@@ -51,3 +51,22 @@ def materialise(df, label: str):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether any store that Spark reaches holds `path`."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def sub_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under `path`; none where it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in store.listStatus(target) if f.isDirectory()) if store.exists(target) else []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library has written."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
