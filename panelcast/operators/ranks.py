@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.session import materialise
-
-BUCKETS = 512
+from panelcast.operators.ranges import running_total
 
 
 def add_rank(
@@ -18,8 +16,8 @@ def add_rank(
 ) -> DataFrame:
     """`method` "min" gives ties their best rank, "average" their mean rank. Null values get null.
 
-    ``direct`` is one window. ``buckets`` counts distinct values first and ranks them from bucket
-    offsets, so a group of any size is shared between tasks. The caller picks.
+    ``direct`` is one window. ``buckets`` counts distinct values first and ranks them from the counts
+    of ordered ranges of equal depth, so a group of any size and shape is shared between tasks. The caller picks.
     """
     if method not in ("min", "average"):
         raise ValueError(f"unknown rank method {method!r}")
@@ -36,31 +34,12 @@ def _direct(df, by, value, name, method, descending):
 
 
 def _bucketed(df, by, value, name, method, descending):
-    at = -F.col(value).cast("double") if descending else F.col(value).cast("double")
-    counts = (
-        df.where(F.col(value).isNotNull()).select(*by, value, at.alias("__at"))
-        .groupBy(*by, value, "__at").agg(F.count("*").alias("__n"))
-    )
-    # Three readers follow; the distinct values are written once rather than counted three times.
-    counts = materialise(counts, "ranks")
-    span = counts.groupBy(*by).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
-    share = F.try_divide(F.col("__at") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    placed = counts.join(_renamed(span, by), _same(by), "inner").drop(*[f"__k_{k}" for k in by]).withColumn(
-        "__b", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))
-    ).drop("__lo", "__hi")
-    ahead = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*by, "__b").agg(F.sum("__n").alias("__m"))
-        .select(*by, "__b", F.coalesce(F.sum("__m").over(ahead), F.lit(0)).alias("__off"))
-    )
-    inside = Window.partitionBy(*by, "__b").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("__off") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
-    rank = before + 1 if method == "min" else before + (F.col("__n") + 1) / 2.0
-    keys = [*by, "__b"]
-    ranked = (
-        placed.join(_renamed(offsets, keys), _same(keys), "inner")
-        .select(*by, value, rank.cast("double").alias(name))
-    )
+    """Distinct values are counted, dealt to ranges of equal depth and ranked from the counts ahead; any ordered type will do."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    placed = running_total(counts, by, [order], "__n", "__before", "__all", "ranks")
+    rank = F.col("__before") + 1 if method == "min" else F.col("__before") + (F.col("__n") + 1) / 2.0
+    ranked = placed.select(*by, value, rank.cast("double").alias(name))
     keys = [*by, value]
     return df.join(_renamed(ranked, keys), _same(keys), "left").drop(*[f"__k_{k}" for k in keys])
 

@@ -315,26 +315,23 @@ def running_max(col: str, keys: Sequence[str], order: Sequence[str]) -> Column:
 
 
 def cumulative_share(df: DataFrame, level: str, by: Sequence[str] = ()) -> DataFrame:
-    """Share of rows at or below each level. Counted first, so the window sees levels, not rows."""
+    """Share of rows at or below each level. Counted first, then added up by ranges of levels; no window sees a whole group."""
+    from panelcast.operators.ranges import running_total
+
     keys = list(by)
     counts = df.where(F.col(level).isNotNull()).groupBy(*keys, level).agg(F.count("*").alias("n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    up_to = part.orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*keys, level, "n", (F.sum("n").over(up_to) / F.sum("n").over(part)).alias("share"))
+    placed = running_total(counts, keys, [F.col(level).asc()], "n", "__before", "__all", "levels")
+    return placed.select(*keys, level, "n", ((F.col("__before") + F.col("n")) / F.col("__all")).alias("share"))
 
 
 def recency_weight(df: DataFrame, group: str, period: str, half_life: float = 40.0,
                    periods_per_group: int = 38, name: str = "weight") -> DataFrame:
     """`0.5 ** (age / half_life)`, age in periods since the latest one among the given rows."""
-    # One row per group value: small whatever the panel, and numbered without touching the rows.
-    seasons = df.groupBy(group).agg(F.max(period).alias("__top"))
-    numbered = seasons.select(
-        group, "__top", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(group)) - 1).alias("__at")
-    )
-    everything = Window.partitionBy(F.lit(0))
-    newest = F.max(F.col("__at") * periods_per_group + F.col("__top")).over(everything)
-    numbered = numbered.select(group, "__at", newest.alias("__newest"))
-    age = F.col("__newest") - (F.col("__at") * periods_per_group + F.col(period))
-    return df.join(numbered, group, "left").withColumn(
-        name, F.pow(F.lit(0.5), age / F.lit(float(half_life)))
-    ).drop("__at", "__newest")
+    # One array of (group value, latest period): as long as there are group values, whatever the panel.
+    tops = df.groupBy(group).agg(F.max(period).alias("top")).where(F.col("top").isNotNull())
+    listed = tops.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "top"))).alias("all")).scalar()
+    rows = df.withColumn("__all", listed)
+    newest = F.array_max(F.transform("__all", lambda s, i: i * periods_per_group + s["top"]))
+    at = F.array_position(F.transform("__all", lambda s: s["g"]), F.col(group)) - 1
+    age = newest - (at * periods_per_group + F.col(period))
+    return rows.withColumn(name, F.pow(F.lit(0.5), age / F.lit(float(half_life)))).drop("__all")

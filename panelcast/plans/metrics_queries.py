@@ -376,23 +376,30 @@ def block_bootstrap(spark, sf):
     return rnd(mp.block_bootstrap(d, ["season"], "period", "d"), ["estimate", "ci_low", "ci_high"])
 
 
-@query("tier_cut_points", "WITH " + STARTS_SQL + """,
-sh AS (SELECT level, sum(count(*)) OVER (ORDER BY level) / sum(count(*)) OVER () AS share FROM st GROUP BY level),
-al AS (SELECT list(gap ORDER BY gap) AS g FROM st),
+@query("tier_cut_points", "WITH " + RATED_SQL + """,
+me AS (SELECT level, gap FROM st WHERE gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY season, period, side, opponent ORDER BY event, entity, level, gap) = 1),
+sh AS (SELECT level, sum(count(*)) OVER (ORDER BY level) / sum(count(*)) OVER () AS share FROM me GROUP BY level),
+al AS (SELECT list(gap ORDER BY gap) AS g FROM me),
 ps AS (SELECT level, g, (1 - share) * (len(g) - 1) AS pos FROM sh CROSS JOIN al WHERE level < (SELECT max(level) FROM sh))
 SELECT level, CAST(round(g[CAST(floor(pos) AS BIGINT) + 1] + (g[CAST(ceil(pos) AS BIGINT) + 1] - g[CAST(floor(pos) AS BIGINT) + 1]) * (pos - floor(pos))) AS BIGINT) AS cut FROM ps""")
 def tier_cut_points(spark, sf):
-    return mp.tier_cuts(starts(spark, sf), "level", "gap")
+    """One row per meeting of two sides in a period, as the share of levels and the quantiles of gaps ask for."""
+    return mp.tier_cuts(rated_starts(spark, sf), "level", "gap", ["season", "period", "side", "opponent"], ["event", "entity", "level", "gap"])
 
 
-@query("side_ticker", with_sql(PLAY_SQL) + """,
+@query("side_ticker", "WITH " + PLAY_SQL.strip() + "," + RATED_SQL + FIT_BY_SEASON.split(",\nlp AS")[0] + """,
 ma AS (SELECT DISTINCT season, period, event, CASE WHEN is_home THEN side ELSE opponent END AS home, CASE WHEN is_home THEN opponent ELSE side END AS away FROM play),
-sd AS (SELECT season, period, event, home AS side, away AS opponent, TRUE AS is_home, home % 5 + 1 AS difficulty FROM ma
-       UNION ALL SELECT season, period, event, away, home, FALSE, away % 5 + 1 FROM ma)
-SELECT season, side, round(CAST(sum(1.4 - 0.2 * difficulty) AS DOUBLE), 4) AS kindness, count(*) AS events FROM sd WHERE period >= 6 AND period < 11 GROUP BY season, side""")
+sd AS (SELECT season, period, home AS side, away AS opponent, TRUE AS is_home FROM ma UNION ALL SELECT season, period, away, home, FALSE FROM ma),
+tk AS (SELECT sd.season, sd.period - l.lead AS as_of, sd.side, sd.opponent, sd.is_home FROM sd, (SELECT unnest([0, 1, 2, 3, 4]) AS lead) l),
+gt AS (SELECT tk.season, tk.as_of, tk.side, greatest(-300, least(300, a.rating - b.rating + CASE WHEN is_home THEN 45 ELSE -45 END)) AS gap, a.rating - b.rating AS known
+       FROM tk JOIN dl ON dl.season = tk.season AND dl.period = tk.as_of
+       LEFT JOIN kn a ON a.season = tk.season AND a.as_of = tk.as_of AND a.side = tk.side LEFT JOIN kn b ON b.season = tk.season AND b.as_of = tk.as_of AND b.side = tk.opponent)
+SELECT season, as_of, side, position, round(sum(CASE WHEN known IS NOT NULL THEN coalesce(a + b * gap, overall) ELSE overall END), 4) AS kindness, count(*) AS events
+FROM gt JOIN ov USING (season) JOIN li USING (season) GROUP BY ALL""")
 def side_ticker(spark, sf):
+    """Lines fitted on all earlier seasons, applied to the next five periods as seen from every period."""
     home, away = F.when(F.col("is_home"), F.col("side")).otherwise(F.col("opponent")), F.when(F.col("is_home"), F.col("opponent")).otherwise(F.col("side"))
     ev = play_panel(spark, sf).select("season", "period", "event", home.alias("home"), away.alias("away")).distinct()
-    ev = ev.withColumns({"home_difficulty": F.col("home") % 5 + 1, "away_difficulty": F.col("away") % 5 + 1})
-    t = mp.event_ticker(ev, 6, 5).withColumn("multiplier", 1.4 - 0.2 * F.col("difficulty"))
-    return rnd(mp.kindness(t, "multiplier", ["season", "side"]), ["kindness"], 4)
+    history, days = rating_days(spark, sf)
+    out = mp.fitted_ticker(ev, mp.moments(rated_starts(spark, sf), ["season"]).earlier(), history, days)
+    return rnd(out, ["kindness"], 4)
