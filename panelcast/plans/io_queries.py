@@ -158,16 +158,17 @@ def capture_ratings_scan(spark, sf):
 SELECT user_id AS entity, CAST(count(*) AS BIGINT) AS minutes, CAST(sum(k) AS DOUBLE) AS actual, CAST(sum(CASE WHEN event_type = 'click' THEN k ELSE 0 END) AS DOUBLE) AS act_bonus,
   CAST(sum(CASE WHEN event_type <> 'click' THEN k ELSE 0 END) AS DOUBLE) AS act_other FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ev) GROUP BY user_id""")
 def live_feed_scan(spark, sf):
-    """One live document per tenth of the users, written as JSON and parsed."""
+    """One live document per day and fifty users, written as JSON and parsed; a document's size does not follow the table's."""
     k = F.from_json("props", "k bigint")["k"]
     name = F.when(F.col("event_type") == "click", "bonus").otherwise("unheard_of")
-    per = ev_panel(spark, sf).groupBy("user_id").agg(
+    per = ev_panel(spark, sf).groupBy("user_id", "day").agg(
         F.count("*").alias("n"), F.sum(k).alias("t"), F.collect_list(F.struct(name.alias("identifier"), k.cast("double").alias("points"))).alias("s"))
     e = F.struct(F.col("user_id").alias("id"), F.create_map(F.lit("minutes"), F.col("n").cast("string"), F.lit("total_points"), F.col("t").cast("string")).alias("stats"),
                  F.array(F.struct(F.lit(1).alias("fixture"), F.col("s").alias("stats"))).alias("explain"))
     path = scratch_path(spark, "live")
-    per.groupBy(F.col("user_id") % 10).agg(F.collect_list(e).alias("elements")).select("elements").write.json(path)
-    return r.parse_live(spark.read.schema(r.LIVE_SCHEMA).json(path)).select("entity", "minutes", "actual", "act_bonus", "act_other")
+    per.groupBy("day", F.floor(F.col("user_id") / 50)).agg(F.collect_list(e).alias("elements")).select("elements").write.json(path)
+    daily = r.parse_live(spark.read.schema(r.LIVE_SCHEMA).json(path))
+    return daily.groupBy("entity").agg(*[F.sum(c).alias(c) for c in ("minutes", "actual", "act_bonus", "act_other")])
 
 
 @query("feature_table_round_trip", with_sql(LOG_SQL) + "SELECT season, period, entity, expected_points, 'expected_points,minutes_r3' AS features FROM log")

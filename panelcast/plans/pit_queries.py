@@ -226,20 +226,59 @@ def event_rating_gap(spark, sf):
     return rnd(out.select("league", "date", "home", "away", "gap"), ["gap"], 4)
 
 
-@query("season_turnover_ratings")
+# Replay with turnover between seasons, over leagues `lm`: who plays a season is known when it opens.
+TURNOVER_SQL = """
+num AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY date, home, l_orderkey, l_linenumber, l_partkey, l_suppkey, cents, home_goals) AS n FROM lm),
+mem AS (SELECT league, season, now, lag(now) OVER (PARTITION BY league ORDER BY season) AS prev FROM (
+  SELECT league, season, list_sort(list(DISTINCT side)) AS now FROM (SELECT league, season, home AS side FROM num UNION ALL SELECT league, season, away FROM num) GROUP BY ALL)),
+nm AS (SELECT num.*, now, prev, coalesce(lag(num.season) OVER w <> num.season, TRUE) AS opens, coalesce(CAST(lag(date) OVER w + INTERVAL 1 DAY AS DATE), CAST(date - INTERVAL 1 DAY AS DATE)) AS close
+       FROM num JOIN mem USING (league, season) WINDOW w AS (PARTITION BY num.league ORDER BY n)),
+elo AS (
+  WITH RECURSIVE e(league, n, season, date, home, away, h, a, seats, close, r) AS (
+    SELECT DISTINCT league, 0::BIGINT, NULL::INTEGER, NULL::DATE, NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE, NULL::DOUBLE, NULL::MAP(INTEGER, DOUBLE), NULL::DATE, MAP {-1: 0.0::DOUBLE} FROM num
+    UNION ALL
+    SELECT league, n, season, date, home, away, h1, a1, CASE WHEN opens THEN r0 END, close,
+           map_from_entries(list_concat(list_filter(map_entries(r0), lambda kv: kv.key <> home AND kv.key <> away), [{'key': home, 'value': h1}, {'key': away, 'value': a1}]))
+    FROM (SELECT *, h0 + 12.5 * sqrt(greatest(1, abs(home_goals - away_goals))) * (re - ex) AS h1, a0 - 12.5 * sqrt(greatest(1, abs(home_goals - away_goals))) * (re - ex) AS a1
+      FROM (SELECT *, 1.0 / (pow(10, -(h0 - a0 + 45) / 400) + 1) AS ex, CASE WHEN home_goals > away_goals THEN 1.0 WHEN home_goals = away_goals THEN 0.5 ELSE 0.0 END::DOUBLE AS re
+        FROM (SELECT *, r0[home] AS h0, r0[away] AS a0
+          FROM (SELECT *, CASE WHEN NOT opens THEN r WHEN prev IS NULL THEN map_from_entries(list_transform(now, lambda t: {'key': t, 'value': 1500.0::DOUBLE}))
+                  ELSE map_from_entries(list_concat(list_filter(map_entries(r), lambda kv: NOT list_contains(now, kv.key)),
+                    list_transform(now, lambda t: {'key': t, 'value': mean + (CASE WHEN list_contains(prev, t) THEN r[t] ELSE entry END - mean) * 0.9}))) END AS r0
+            FROM (SELECT *, coalesce(list_avg(list_transform(list_filter(prev, lambda t: NOT list_contains(now, t)), lambda t: r[t])), mean) AS entry
+              FROM (SELECT m.*, e.r, list_avg(list_transform(m.prev, lambda t: e.r[t])) AS mean FROM e JOIN nm m ON m.league = e.league AND m.n = e.n + 1)))))))
+  SELECT * FROM e WHERE n > 0),
+dayend AS (SELECT league, season, side, date AS valid_from, last(rating ORDER BY n) AS rating FROM (
+  SELECT league, season, n, date, home AS side, h AS rating FROM elo UNION ALL SELECT league, season, n, date, away, a FROM elo) GROUP BY ALL),
+seated AS (SELECT league, season, t.key AS side, close AS valid_from, t.value AS rating FROM (SELECT league, season, close, unnest(map_entries(seats)) AS t FROM elo WHERE seats IS NOT NULL)),
+hist AS (SELECT * FROM dayend UNION ALL
+  SELECT s.* FROM seated s JOIN mem USING (league, season) ANTI JOIN dayend d ON d.league = s.league AND d.side = s.side AND d.valid_from = s.valid_from WHERE list_contains(mem.now, s.side))"""
+
+
+@query("season_turnover_ratings", with_sql(MATCH_SQL, """
+lm AS (SELECT * REPLACE (CAST(l_partkey AS BIGINT) AS league) FROM match WHERE (home + season) % 5 <> 0 AND (away + season) % 5 <> 0)""", TURNOVER_SQL) + """
+SELECT league, CAST(side AS BIGINT) AS side, round(arg_max(rating, valid_from), 4) AS rating, max(season) AS season FROM hist GROUP BY league, side""")
 def season_turnover_ratings(spark, sf):
-    """Whole leagues by region and season, sides dropping out and returning; checked by tests."""
-    d = match_panel(spark, sf).where("(home + season) % 5 <> 0 AND (away + season) % 5 <> 0").withColumn("league", F.col("region").cast("bigint"))
-    return elo.closing_ratings(elo.rating_history(elo.replay(d, MATCH_ORDER))).drop("valid_from")
-
-
-@query("panel_rating_gap")
+    """A league per part over seven seasons, sides dropping out and returning; as many leagues as parts."""
+    d = match_panel(spark, sf).where("(home + season) % 5 <> 0 AND (away + season) % 5 <> 0").withColumn("league", F.col("l_partkey").cast("bigint"))
+    out = elo.closing_ratings(elo.rating_history(elo.replay(materialise(d, "matches"), MATCH_ORDER)))
+    return rnd(out.drop("valid_from"), ["rating"], 4)
+
+
+@query("panel_rating_gap", with_sql(MATCH_SQL, """
+lm AS (SELECT m.* REPLACE (CAST(o_custkey AS BIGINT) AS league) FROM match m JOIN orders ON l_orderkey = o_orderkey)""", TURNOVER_SQL, PLAY_SQL) + """,
+fd AS (SELECT season, period, CAST(min(ts) AS DATE) AS at FROM play GROUP BY ALL),
+pa AS (SELECT p.season, p.entity, p.event, p.side, p.opponent, p.is_home, fd.at FROM play p JOIN fd USING (season, period)),
+g1 AS (SELECT pa.*, h.rating AS ra FROM pa ASOF LEFT JOIN hist h ON pa.entity = h.league AND pa.side = h.side AND pa.at > h.valid_from),
+g2 AS (SELECT g1.*, h.rating AS rb FROM g1 ASOF LEFT JOIN hist h ON g1.entity = h.league AND g1.opponent = h.side AND g1.at > h.valid_from)
+SELECT season, entity, event, round(ra - rb + CASE WHEN is_home THEN 45 ELSE -45 END, 4) AS rating_gap FROM g2""")
 def panel_rating_gap(spark, sf):
-    d = match_panel(spark, sf).withColumn("league", F.lit(0).cast("bigint"))
-    history = elo.rating_history(elo.replay(d, MATCH_ORDER))
-    panel = play_panel(spark, sf).withColumn("league", F.lit(0).cast("bigint"))
-    out = elo.attach_gap_column(panel, PLAY, history)
-    return out.select("season", "entity", "event", F.round("rating_gap", 4).alias("rating_gap"))
+    """A league per customer, as many as there are; a row's gap comes from its own customer's league."""
+    buyers = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("league"))
+    d = match_panel(spark, sf).drop("league").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    history = elo.rating_history(elo.replay(materialise(d, "matches"), MATCH_ORDER))
+    out = elo.attach_gap_column(play_panel(spark, sf).withColumn("league", F.col("entity").cast("bigint")), PLAY, materialise(history, "history"))
+    return rnd(out.select("season", "entity", "event", "rating_gap"), ["rating_gap"], 4)
 
 
 @query("rating_arithmetic", with_sql(MATCH_SQL) + """
