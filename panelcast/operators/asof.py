@@ -7,41 +7,44 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.ranges import RANGE, in_ranges
+
 
 def as_of_join(left: DataFrame, right: DataFrame, on: Sequence[str], when: str, valid_from: str,
                values: Sequence[str], strict: bool = True) -> DataFrame:
     """For each left row the latest right row of its key before `when` (at it too, if not `strict`).
 
     The lookups are first reduced to their distinct (key, when) pairs, with map-side combine, so a key
-    that fills a third of the left side is looked up once per instant. Pairs and right rows are then
-    merged by one window, and the answers joined back on the pair. Instants finer than a day are merged
-    day by day, each day starting from the value its key closed the days before with, so a key with
-    very many instants is spread over its days. Null when nothing is valid yet.
+    that fills a third of the left side is looked up once per instant. Pairs and right rows are dealt
+    together to ranges of equal depth by key and instant and written once; each range starts from the value its key
+    closed the ranges before with, so a key of very many instants, of any type, is spread over its ranges.
+    Null when nothing is valid yet.
     """
     on = list(on)
-    fine = left.schema[when].dataType.typeName().startswith("timestamp")
-    day = F.to_date("__t") if fine else F.lit(0)
-    asked = left.select(*on, F.col(when).alias("__t")).where(F.col("__t").isNotNull()).distinct().withColumn("__day", day)
-    history = right.dropna(subset=[*on, valid_from]).groupBy(*on, F.col(valid_from).alias("__t")).agg(
-        F.max(F.struct(*values)).alias("__v")).withColumn("__day", day)
+    asked = left.select(*on, F.col(when).alias("__t")).where(F.col("__t").isNotNull()).distinct()
+    history = right.dropna(subset=[*on, valid_from]).groupBy(*on, F.col(valid_from).alias("__t")).agg(F.max(F.struct(*values)).alias("__v"))
     kind = history.schema["__v"].dataType
-    marked = asked.select(*on, "__day", "__t", F.lit(None).cast(kind).alias("__v"), F.lit(True).alias("__ask"))
-    merged = history.select(*on, "__day", "__t", "__v", F.lit(False).alias("__ask")).unionByName(marked)
+    marked = asked.select(*on, "__t", F.lit(None).cast(kind).alias("__v"), F.lit(True).alias("__ask"))
+    merged = history.select(*on, "__t", "__v", F.lit(False).alias("__ask")).unionByName(marked)
     # A lookup sorts before the history of its own instant when the match must be strictly earlier.
-    order = [F.col("__t"), F.col("__ask").desc() if strict else F.col("__ask").asc()]
-    past = Window.partitionBy(*on, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    known = merged.select(*on, "__day", "__t", "__ask", F.last("__v", ignorenulls=True).over(past).alias("__v")).where(F.col("__ask"))
-    if fine:
-        known = known.join(_carried_in(merged, on), [*on, "__day"], "left").withColumn("__v", F.coalesce("__v", "__carry"))
+    order = [F.col("__t").asc(), F.col("__ask").desc() if strict else F.col("__ask").asc()]
+    merged = in_ranges(merged, on, order, "asof")
+    past = Window.partitionBy(*on, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = merged.withColumn("__v", F.last("__v", ignorenulls=True).over(past)).where(F.col("__ask"))
+    known = known.join(_carried_in(merged, on), [*on, RANGE], "left").withColumn("__v", F.coalesce("__v", "__carry"))
     known = known.select(*on, F.col("__t").alias(when), *[F.col(f"__v.{v}").alias(v) for v in values])
     return left.join(known, [*on, when], "left")
 
 
 def _carried_in(merged: DataFrame, on: list[str]) -> DataFrame:
-    """Per key and day the value in force when the day begins."""
-    closing = merged.groupBy(*on, "__day").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__t"))).alias("__close"))
-    before = Window.partitionBy(*on).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    return closing.select(*on, "__day", F.last("__close", ignorenulls=True).over(before).alias("__carry"))
+    """The value in force when a range begins, for keys that lie in several ranges."""
+    closing = merged.where(F.col("__v").isNotNull()).groupBy(*on, RANGE).agg(F.max_by("__v", "__t").alias("__close"))
+    spans = merged.groupBy(*on).agg(F.min(RANGE).alias("__low"), F.max(RANGE).alias("__high")).where(F.col("__low") < F.col("__high"))
+    # One row per range of such a key.
+    spans = spans.select(*on, F.explode(F.sequence("__low", "__high")).alias(RANGE))
+    before = Window.partitionBy(*on).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    rows = spans.join(closing, [*on, RANGE], "left")
+    return rows.select(*on, RANGE, F.last("__close", ignorenulls=True).over(before).alias("__carry")).where(F.col("__carry").isNotNull())
 
 
 def latest_before(captures: DataFrame, deadlines: DataFrame, keys: Sequence[str], period: str = "period",
