@@ -118,8 +118,11 @@ def unknown_if_missing(df: DataFrame, cols: Sequence[str] = ("odds_priced", "fin
 
 
 def upsert_partition(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Replace exactly the partitions present in `df`; writing the same period again changes nothing."""
-    (df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Replace exactly the partitions present in `df`; writing the same period again changes nothing.
+
+    Rows are gathered by partition for few files, and a partition too large for one task is split at run time.
+    """
+    (df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*keys).parquet(path))
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.scoring import chip_key
+
 # Fixed values. Legal line-ups: one keeper, 3-5 defenders, 2-5 midfielders, 1-3 forwards, ten outfielders.
 SHAPES = [(d, m, 10 - d - m) for d in range(3, 6) for m in range(2, 6) if 1 <= 10 - d - m <= 3]
 LEAST = {"GK": 1, "DEF": 3, "MID": 2, "FWD": 1}
@@ -224,6 +226,54 @@ def season_ledger(history: DataFrame, chips: DataFrame, last: DataFrame, manager
     return rows.join(chips.select(manager, "period", "chip"), [manager, "period"], "left")
 
 
+PICKS_SCHEMA = (
+    "manager bigint, period int, active_chip string, picks array<struct<element:bigint,position:int,multiplier:int,is_captain:boolean,is_vice_captain:boolean>>, "
+    "automatic_subs array<struct<element_in:bigint,element_out:bigint>>, entry_history struct<points:bigint,points_on_bench:bigint,event_transfers_cost:bigint,bank:bigint>"
+)
+
+
+def picks_of(documents: DataFrame) -> DataFrame:
+    """One row per pick of nested squad documents, with who came on and off, and the squad's bank, chip and transfer cost."""
+    subs = F.coalesce("automatic_subs", F.array().cast("array<struct<element_in:bigint,element_out:bigint>>"))
+    rows = documents.withColumn("__subs", subs).withColumn("p", F.explode("picks"))
+    came = {flag: F.array_contains(F.col(f"__subs.{side}"), F.col("p.element")) for flag, side in (("subbed_in", "element_in"), ("subbed_out", "element_out"))}
+    return rows.select(
+        "manager", "period", F.col("p.element").alias("entity"), F.col("p.position").alias("slot"), F.col("p.multiplier").alias("multiplier"),
+        F.coalesce("p.is_captain", F.lit(False)).alias("is_captain"), F.coalesce("p.is_vice_captain", F.lit(False)).alias("is_vice"),
+        *[F.coalesce(c, F.lit(False)).alias(n) for n, c in came.items()], F.col("active_chip").alias("chip"),
+        F.coalesce("entry_history.bank", F.lit(0)).cast("bigint").alias("bank"), F.coalesce("entry_history.event_transfers_cost", F.lit(0)).cast("bigint").alias("transfer_cost"))
+
+
+#: Chips under which transfers cost nothing and the bank stays.
+KEEPING_CHIPS = ("freehit", "wildcard")
+
+
+def import_teams(managers: DataFrame, picks: DataFrame, history: DataFrame, chips: DataFrame, transfers: DataFrame, first_prices: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row per manager: the squad as it stands after `last_period`, ready to plan the next one.
+
+    manager, squad_period, bank, free_transfers, picks (slot, entity, buy_price), chips_used (half:chip to period) and ledger
+    (period, transfers, hit, chip, value). After a free hit the squad is that of the period before. A manager who started later than
+    `last_period` fails the job: there is no squad yet. `managers` has manager, started, last_period; `picks` is that of `picks_of`.
+    """
+    late = F.raise_error(F.concat(F.lit("no squad yet for manager "), F.col("manager").cast("string"))).cast("int")
+    held_by = squad_period(chips, managers).withColumn("squad_period", F.when(F.col("last_period") < F.col("started"), late).otherwise(F.col("squad_period")))
+    held = picks.join(held_by.select("manager", "squad_period"), "manager").where(F.col("period") == F.col("squad_period"))
+    paid = purchase_prices(held.select("manager", "entity"), transfers, chips, first_prices, prices, held_by)
+    squads = held.join(paid, ["manager", "entity"]).groupBy("manager").agg(
+        F.array_sort(F.collect_list(F.struct("slot", "entity", "buy_price"))).alias("picks"), F.max("bank").alias("bank"))
+    keeping = chips.where(F.col("chip").isin(*KEEPING_CHIPS)).select("manager", "period", F.lit(True).alias("free")).distinct()
+    bounds = held_by.select("manager", "started", F.col("last_period").alias("through"))
+    free = transfer_bank(history.join(keeping, ["manager", "period"], "left"), bounds, ["manager"])
+    used = chips.groupBy("manager", chip_key(F.col("chip"), F.col("period")).alias("key")).agg(F.max("period").alias("period"))
+    used = used.groupBy("manager").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "period")))).alias("chips_used"))
+    ledger = season_ledger(history.select("manager", "period", "transfers", "hit", "value"), chips, held_by.select("manager", "last_period"))
+    ledger = ledger.groupBy("manager").agg(F.array_sort(F.collect_list(F.struct("period", "transfers", "hit", "chip", "value"))).alias("ledger"))
+    out = held_by.select("manager", "squad_period").join(squads, "manager", "left")
+    for part in (free, used, ledger):
+        out = out.join(part, "manager", "left")
+    return out.select("manager", "squad_period", F.coalesce("bank", F.lit(0)).alias("bank"), "free_transfers", "picks", "chips_used", "ledger")
+
+
 def candidates(scored: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], top: int = 8) -> DataFrame:
     """The best `top` rows per key, ranked; the rank limit runs below the shuffle."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), *ties)

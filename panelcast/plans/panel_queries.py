@@ -219,3 +219,32 @@ def home_away_membership(spark, sf):
 
     d = match_panel(spark, sf).where("(home + season) % 5 <> 0 AND (away + season) % 5 <> 0").withColumn("league", F.col("region"))
     return membership(d)
+
+
+@query("normalised_history", """
+WITH raw AS (SELECT l_partkey AS entity, l_orderkey AS event, l_linenumber, l_quantity, CAST(year(l_shipdate) AS VARCHAR) AS season, CAST(month(l_shipdate) AS BIGINT) AS period, l_linenumber % 2 = 0 AS is_home,
+  CASE l_partkey % 5 WHEN 0 THEN 'GK' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' WHEN 3 THEN 'FWD' END AS position, CAST(l_shipdate AS TIMESTAMP) AS ts, CASE WHEN month(l_shipdate) % 4 = 0 THEN 0 ELSE l_quantity END AS xp
+  FROM lineitem WHERE l_partkey % 5 <> 4),
+ev AS (SELECT o_orderkey AS event, o_custkey % 20 AS team_h, o_orderkey % 20 AS team_a, CAST(o_custkey % 5 + 1 AS DOUBLE) AS dh, CAST(o_orderkey % 5 + 1 AS DOUBLE) AS da FROM orders WHERE o_orderkey % 9 <> 0),
+j AS (SELECT raw.*, max(abs(xp)) OVER (PARTITION BY season, period) AS seen, team_h, team_a, dh, da FROM raw LEFT JOIN ev USING (event))
+SELECT season, period, event, entity, strftime(ts, '%Y-%m-%d') AS day, position, CAST(CASE position WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 WHEN 'MID' THEN 3 ELSE 4 END AS BIGINT) AS element_type, is_home,
+  CASE WHEN is_home THEN team_h ELSE team_a END AS side, CASE WHEN is_home THEN team_a ELSE team_h END AS opponent, CASE WHEN is_home THEN dh ELSE da END AS difficulty,
+  CASE WHEN seen <> 0 THEN xp END AS xp, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_linenumber * 10 AS DOUBLE) END AS minutes FROM j""")
+def normalised_history(spark, sf):
+    """Order lines in the shape of a landed season: text fields, a fifth position, events beside them, a forecast missing in some months."""
+    k = F.col("l_partkey") % 5
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("element"), F.col("l_orderkey").cast("string").alias("fixture"), F.year("l_shipdate").cast("string").alias("y"), F.month("l_shipdate").alias("round"),
+        F.when(F.col("l_linenumber") % 2 == 0, "True").otherwise("False").alias("was_home"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("kickoff_time"),
+        F.when(k == 0, "GK").when(k == 1, "DEF").when(k == 2, "MID").when(k == 3, "FWD").otherwise("AM").alias("position"),
+        F.when(F.month("l_shipdate") % 4 == 0, 0).otherwise(F.col("l_quantity")).cast("string").alias("xP"),
+        F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_linenumber") * 10).cast("string")).otherwise("n/a").alias("minutes"))
+    events = table(spark, sf, "orders").where("o_orderkey % 9 <> 0").select(
+        F.col("o_orderkey").alias("event"), (F.col("o_custkey") % 20).alias("team_h"), (F.col("o_orderkey") % 20).alias("team_a"),
+        (F.col("o_custkey") % 5 + 1).cast("double").alias("dh"), (F.col("o_orderkey") % 5 + 1).cast("double").alias("da"))
+    schema = pn.canonical_schema(
+        {"season": "string", "period": "bigint", "event": "bigint", "entity": "bigint", "ts": "timestamp"},
+        {"position": "string", "element_type": "bigint", "is_home": "boolean", "side": "bigint", "opponent": "bigint", "difficulty": "double", "xp": "double"}, {"minutes": "double"})
+    out = pn.normalise_history(rows, events, PLAY, F.col("y"), {"element": "entity", "fixture": "event", "round": "period", "was_home": "is_home", "kickoff_time": "ts", "xP": "xp"},
+                               {"side": ("team_h", "team_a"), "opponent": ("team_a", "team_h"), "difficulty": ("dh", "da")}, schema, ["season", "period", "event", "entity"], ["xp"])
+    return out.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).drop("ts")

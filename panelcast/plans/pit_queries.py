@@ -265,6 +265,12 @@ def season_turnover_ratings(spark, sf):
     return rnd(out.drop("valid_from"), ["rating"], 4)
 
 
+def customer_leagues(spark, sf):
+    """Matches with their customer as the league."""
+    buyers = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("league"))
+    return match_panel(spark, sf).drop("league").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+
+
 @query("panel_rating_gap", with_sql(MATCH_SQL, """
 lm AS (SELECT m.* REPLACE (CAST(o_custkey AS BIGINT) AS league) FROM match m JOIN orders ON l_orderkey = o_orderkey)""", TURNOVER_SQL, PLAY_SQL) + """,
 fd AS (SELECT season, period, CAST(min(ts) AS DATE) AS at FROM play GROUP BY ALL),
@@ -274,13 +280,35 @@ g2 AS (SELECT g1.*, h.rating AS rb FROM g1 ASOF LEFT JOIN hist h ON g1.entity =
 SELECT season, entity, event, round(ra - rb + CASE WHEN is_home THEN 45 ELSE -45 END, 4) AS rating_gap FROM g2""")
 def panel_rating_gap(spark, sf):
     """A league per customer, as many as there are; a row's gap comes from its own customer's league."""
-    buyers = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("league"))
-    d = match_panel(spark, sf).drop("league").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
-    history = elo.rating_history(elo.replay(materialise(d, "matches"), MATCH_ORDER))
+    history = elo.rating_history(elo.replay(materialise(customer_leagues(spark, sf), "matches"), MATCH_ORDER))
     out = elo.attach_gap_column(play_panel(spark, sf).withColumn("league", F.col("entity").cast("bigint")), PLAY, materialise(history, "history"))
     return rnd(out.select("season", "entity", "event", "rating_gap"), ["rating_gap"], 4)
 
 
+@query("rated_dataset", with_sql(MATCH_SQL, """
+lm AS (SELECT m.* REPLACE (CAST(o_custkey AS BIGINT) AS league) FROM match m JOIN orders ON l_orderkey = o_orderkey)""", TURNOVER_SQL, PLAY_SQL) + """,
+fd AS (SELECT season, period, CAST(min(ts) AS DATE) AS at FROM play GROUP BY ALL),
+se AS (SELECT season, side, period, CAST(count(DISTINCT event) AS DOUBLE) AS side_events FROM play GROUP BY ALL),
+pa AS (SELECT p.*, fd.at, se.side_events FROM play p JOIN fd USING (season, period) JOIN se USING (season, side, period)),
+g1 AS (SELECT pa.*, h.rating AS ra FROM pa ASOF LEFT JOIN hist h ON pa.entity = h.league AND pa.side = h.side AND pa.at > h.valid_from),
+g2 AS (SELECT g1.*, h.rating AS rb FROM g1 ASOF LEFT JOIN hist h ON g1.entity = h.league AND g1.opponent = h.side AND g1.at > h.valid_from)
+SELECT season, entity, event, points, side_events, CAST(is_home AS DOUBLE) AS home_flag, CASE WHEN first_choice = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS is_first_choice,
+  round(ra - rb + CASE WHEN is_home THEN 45 ELSE -45 END, 4) AS rating_gap, 'rating_gap' AS listed FROM g2""")
+def rated_dataset(spark, sf):
+    """Played and upcoming rows through one build, with rating gaps among the features."""
+    from panelcast.operators.features import FeaturePlan
+    from panelcast.operators.pipeline import build_dataset
+
+    history = materialise(elo.rating_history(elo.replay(materialise(customer_leagues(spark, sf), "matches"), MATCH_ORDER)), "history")
+    panel = play_panel(spark, sf).withColumn("league", F.col("entity").cast("bigint"))
+    plan = FeaturePlan(outcomes=("minutes", "starts", "points", "goals", "involvement"), target="points", side_stats={"goals_for": ("shared", "goals_for")},
+                       static=("period", "rating_gap"), role_flags={"first_choice": "is_first_choice"}, banned=("xp",), windows=(3,))
+    built = build_dataset([panel.where("points IS NOT NULL"), panel.where("points IS NULL")], PLAY, plan, ratings=history)
+    listed = ",".join(c for c in built.columns if c.startswith("rating"))
+    out = built.df.select("season", "entity", "event", "points", "side_events", "home_flag", "is_first_choice", "rating_gap").withColumn("listed", F.lit(listed))
+    return rnd(out, ["rating_gap"], 4)
+
+
 @query("rating_arithmetic", with_sql(MATCH_SQL) + """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1 / (pow(10, -((1400 + home * 8) - (1400 + away * 8) + 45) / 400.0) + 1), 6) AS expected,
   round(sqrt(greatest(1, abs(home_goals - away_goals))), 6) AS margin, CAST(CASE WHEN l_linenumber % 5 <> 0 THEN (home - away) * 8 + CASE WHEN l_orderkey % 2 = 0 THEN 45 ELSE -45 END END AS DOUBLE) AS gap FROM match""")

@@ -9,7 +9,7 @@ from panelcast.operators import squads as sq
 from panelcast.plans.metrics_queries import rnd
 from panelcast.plans.panels import EV_SQL, LOG_SQL, ev_panel, log_panel, with_sql
 from panelcast.plans.registry import query, table
-from panelcast.session import materialise
+from panelcast.session import materialise, scratch_path
 
 BANK_SQL = with_sql(EV_SQL) + """,
 u AS (SELECT user_id, day, CAST(count(*) AS INTEGER) AS n, bool_or(event_type = 'signup') AND day % 4 = 0 AS free FROM ev WHERE event_type <> 'view' GROUP BY user_id, day),
@@ -138,6 +138,47 @@ def season_ledger(spark, sf):
     return sq.season_ledger(h, chips, managers.select("manager", "last_period"))
 
 
+def squad_documents(spark, sf):
+    """A nested document per manager and period: what was bought then, the captain first."""
+    tr, *_ = import_frames(spark, sf)
+    w = Window.partitionBy("manager", "period").orderBy("entity")
+    p = tr.select("manager", "period", F.col("element_in").alias("entity")).distinct().withColumn("slot", F.row_number().over(w))
+    pick = F.struct(F.col("entity").alias("element"), F.col("slot").alias("position"), F.when(F.col("slot") == 1, 2).otherwise(1).alias("multiplier"),
+                    (F.col("slot") == 1).alias("is_captain"), (F.col("slot") == 2).alias("is_vice_captain"))
+    bank = ((F.col("manager") * 7 + F.col("period")) % 50).cast("bigint")
+    none = F.array().cast("array<struct<element_in:bigint,element_out:bigint>>")
+    return p.groupBy("manager", "period").agg(F.collect_list(pick).alias("picks")).select(
+        "manager", "period", F.lit(None).cast("string").alias("active_chip"), "picks", none.alias("automatic_subs"),
+        F.struct(F.lit(0).cast("bigint").alias("points"), F.lit(0).cast("bigint").alias("points_on_bench"), F.lit(0).cast("bigint").alias("event_transfers_cost"), bank.alias("bank")).alias("entry_history"))
+
+
+@query("team_import", with_sql(IMPORT_SQL) + """,
+hi AS (SELECT manager, period, count(*) AS n, CAST(sum(cost) AS BIGINT) AS value FROM tr GROUP BY ALL),
+pk AS (SELECT DISTINCT tr.manager, tr.entity FROM tr JOIN sp ON sp.manager = tr.manager AND tr.period = sp.squad_period),
+bp AS (SELECT pk.manager, count(*) AS n, CAST(sum(coalesce(paid, first, round(p_retailprice), 0)) AS BIGINT) AS spent FROM pk LEFT JOIN pd USING (manager, entity) LEFT JOIN ff USING (manager, entity)
+  LEFT JOIN part ON p_partkey = pk.entity GROUP BY pk.manager),
+us AS (SELECT sp.manager, list_transform(range(started + 1, last_period + 1), lambda d: coalesce(list_filter(l, lambda x: x.period = d)[1].n, 0)) AS used
+  FROM sp LEFT JOIN (SELECT hi.manager, list(struct_pack(period := hi.period, n := CASE WHEN chip IS NOT NULL THEN 0 ELSE n END)) AS l FROM hi LEFT JOIN ch USING (manager, period) GROUP BY hi.manager) USING (manager))
+SELECT sp.manager, sp.squad_period, CAST(CASE WHEN bp.n IS NULL THEN 0 ELSE (sp.manager * 7 + sp.squad_period) % 50 END AS BIGINT) AS bank,
+  CAST(list_reduce(list_concat([1], used), lambda ft, x: least(5, greatest(0, ft - x) + 1)) AS INTEGER) AS free_transfers, CAST(coalesce(bp.n, 0) AS INTEGER) AS picks, coalesce(spent, 0) AS spent,
+  coalesce((SELECT string_agg('2:' || chip || '=' || last, ',') FROM (SELECT chip, max(period) AS last FROM ch WHERE ch.manager = sp.manager GROUP BY chip)), '') AS chips,
+  (SELECT CAST(count(*) AS INTEGER) FROM hi WHERE hi.manager = sp.manager) AS periods, (SELECT CAST(sum(value) AS BIGINT) FROM hi WHERE hi.manager = sp.manager) AS value
+FROM sp LEFT JOIN bp USING (manager) JOIN us USING (manager)""")
+def team_import(spark, sf):
+    """Every manager's team, bank, chips and ledger in one row, from nested documents."""
+    tr, managers, chips, _, first, prices = import_frames(spark, sf)
+    path = scratch_path(spark, "picks")
+    squad_documents(spark, sf).write.json(path)
+    picks = sq.picks_of(spark.read.schema(sq.PICKS_SCHEMA).json(path))
+    history = tr.groupBy("manager", "period").agg(F.count("*").alias("transfers"), F.sum("cost").alias("value")).withColumn("hit", F.lit(0))
+    t = sq.import_teams(managers, picks, history, chips, tr, first, prices)
+    used = F.transform(F.map_entries("chips_used"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    n = F.coalesce(F.size("picks"), F.lit(0))
+    spent = F.coalesce(F.aggregate("picks", F.lit(0).cast("bigint"), lambda a, p: a + p["buy_price"]), F.lit(0))
+    return t.select("manager", "squad_period", "bank", "free_transfers", F.when(F.col("picks").isNull(), 0).otherwise(n).alias("picks"), spent.alias("spent"),
+                    F.coalesce(F.array_join(used, ","), F.lit("")).alias("chips"), F.size("ledger").alias("periods"), F.aggregate("ledger", F.lit(0).cast("bigint"), lambda a, x: a + x["value"]).alias("value"))
+
+
 @query("squad_table", with_sql(LOG_SQL) + """,
 pk AS (SELECT season, period, entity, CAST(entity % 15 + 1 AS INTEGER) AS slot FROM log),
 re AS (SELECT season, period, entity, position, expected_points, 'c' || entity AS name FROM log WHERE entity % 4 <> 0), ac AS (SELECT season, period, entity, actual, minutes FROM log WHERE entity % 5 <> 0)
