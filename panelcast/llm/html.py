@@ -29,7 +29,7 @@ STOP_WORDS = {k: frozenset(v.split()) for k, v in STOP.items()}
 
 BLOCK = frozenset("address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav object ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 #: Elements that hold other blocks; the path of open ones decides where a block stands.
-HOLDERS = frozenset("article aside body button details dialog div dl fieldset figure footer form head header iframe main menu nav object ol section select table template textarea title ul noscript svg span".split())
+HOLDERS = frozenset("article aside body button details dialog div dl fieldset figure footer form head header iframe li main menu nav object ol section select table template textarea title ul noscript svg span".split())
 BAD_TAGS = frozenset("aside button dialog footer form head iframe menu nav noscript object select svg template textarea title".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 BAD_MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright disqus discussion dropdown footer gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split())
@@ -37,7 +37,8 @@ CONTENT_MARKS = frozenset("article articlebody body content entry main mainconte
 BAD_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 RAW = frozenset("script style noscript template svg textarea iframe".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)"
+                   r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)  # the last one where a quote is never closed
 MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 PART = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -73,6 +74,7 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, int]]:
     out, parts, links, in_link = [], [], 0, 0
     path: list[tuple[str, str | None, int]] = []  # (tag, bad or content or None, container)
     bad, container, containers = 0, -1, 0
+    marked = False  # the paragraph or heading at hand is itself marked as a comment, an advert and so on
     at, n = 0, len(html)
 
     def end_block() -> None:
@@ -80,7 +82,7 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, links, bad > 0, container))
+                out.append((text, links, bad > 0 or marked, container))
             parts.clear()
         links = 0
 
@@ -95,12 +97,14 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, int]]:
         if not m:
             break
         at = m.end()
-        if m.group(2) is None:
+        slash, name, attributes = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
+        if name is None:
             continue
-        tag, closing = m.group(2).lower(), bool(m.group(1))
+        tag, closing = name.lower(), bool(slash)
         if tag in BLOCK:
             end_block()
             in_link = 0
+            marked = not closing and tag not in HOLDERS and _kind(tag, attributes, container >= 0) == "bad"
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
@@ -116,14 +120,27 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, int]]:
                         del path[i:]
                         break
             continue
-        if tag in RAW and not m.group(3).endswith("/"):
+        if tag in RAW and not attributes.endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
             at = close.end() if close else n
             continue
-        if tag in HOLDERS and not m.group(3).endswith("/"):
-            kind = _kind(tag, m.group(3), container >= 0)
+        if tag in HOLDERS and not attributes.endswith("/"):
+            kind = _kind(tag, attributes, container >= 0)
             if tag == "span" and kind == "bad":
                 end_block()
+            if tag == "li":  # ends an item left open in the same list
+                for i in range(len(path) - 1, -1, -1):
+                    if path[i][0] in ("ul", "ol", "menu"):
+                        break
+                    if path[i][0] == "li":
+                        bad -= sum(k == "bad" for _, k, _ in path[i:])
+                        container = path[i][2]
+                        del path[i:]
+                        break
+            if tag in CONTENT_TAGS and kind == "content" and bad and all(t == "form" for t, k, _ in path if k == "bad"):
+                # a form round the whole page hides nothing of its article
+                path[:] = [(t, None if k == "bad" else k, c) for t, k, c in path]
+                bad = 0
             path.append((tag, kind, container))
             bad += kind == "bad"
             if kind == "content" and container < 0:
@@ -187,7 +204,7 @@ def second_pass(first: Sequence[str], containers: Sequence[int]) -> list[bool]:
 
 def main_text(html: str) -> str:
     """The main text: kept blocks in page order, one per line."""
-    lang = re.search(r"<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", html[:2000])
+    lang = re.search(r"<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", html)
     words = STOP_WORDS.get(lang.group(1).lower()) if lang else None
     blocks = blocks_of(html)
     first = [first_pass(*b, words) for b in blocks]

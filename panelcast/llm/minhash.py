@@ -419,12 +419,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, one of each group of near-duplicates; of rows that share a key, one.
+    """The documents, with all their columns, one of each group of near-duplicates: that with the least key.
 
-    Rows with a null key can't be told from each other by it; they stay, but for repeated texts.
+    Rows of one key and one text are one document, of which one row stays. Different texts under one key, and texts without a
+    key, are documents of their own: the one with the least text hash goes by the key, the others by numbers beyond all keys.
+    Rows without words are linked with nothing and all stay. Keys must lie under 2^62.
     """
-    kept = near_duplicates(docs.filter(F.col(key).isNotNull()), key, text, **options).filter("kept").select(F.col(key).alias(f"{OWN}kept")).distinct()
-    # the join deals rows by key already, so taking one row of each key needs no further shuffle
-    named = docs.join(kept, F.col(key) == F.col(f"{OWN}kept"), "left_semi").dropDuplicates([key])
-    nameless = docs.filter(F.col(key).isNull()).withColumn(f"{OWN}text", F.xxhash64(F.col(text))).dropDuplicates([f"{OWN}text"]).drop(f"{OWN}text")
-    return named.union(nameless.select(*[F.col(c) for c in docs.columns]))
+    mark, own, kept = f"{OWN}hash", f"{OWN}row", f"{OWN}kept"
+    spoken = F.coalesce(F.col(text).cast("string").rlike("[^ \\t-\\r]"), F.lit(False))
+    worded = docs.filter(spoken).withColumn(mark, F.xxhash64(F.col(text).cast("string")))
+    ids = worded.select(F.col(key).cast("long").alias(own), mark).filter(F.col(own).isNotNull()).distinct()
+    least = ids.groupBy(own).agg(F.min(mark).alias("least"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    # Usually empty, and written, so that the join below knows its size before any text moves.
+    others = materialise(ids.join(least, own).filter(F.col(mark) != F.col("least")).select(F.col(own).alias(f"{OWN}k"), F.col(mark).alias(f"{OWN}h")), "others")
+    first = F.when(F.col(key).isNull(), F.lit(3 << 61)).otherwise(F.lit(1 << 62))  # those without a key come last
+    beyond = first + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(-1)), mark), 3)
+    if others.isEmpty():
+        numbered = worded.withColumn(own, F.coalesce(F.col(key).cast("long"), beyond))
+    else:
+        same = (F.col(key).cast("long") == F.col(f"{OWN}k")) & (F.col(mark) == F.col(f"{OWN}h"))
+        numbered = worded.join(others, same, "left").withColumn(own, F.when(F.col(key).isNull() | F.col(f"{OWN}k").isNotNull(), beyond).otherwise(F.col(key).cast("long")))
+    found = near_duplicates(numbered.select(own, F.col(text).alias("text")), own, "text", **options).filter("kept").select(F.col(own).alias(kept)).distinct()
+    # the join deals rows by their number already, so taking one row of each needs no further shuffle
+    single = numbered.join(found, F.col(own) == F.col(kept), "left_semi").dropDuplicates([own])
+    columns = [F.col(c) for c in docs.columns]
+    return single.select(*columns).union(docs.filter(~spoken))

@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             )
 
     seen = rows.select("text").mapInArrow(run, "votes int, found array<int>, hits int")
-    sample = seen.groupBy("votes", "found", F.least("hits", F.lit(20)).alias("hits")).agg(F.count(F.lit(1)).alias("n")).collect()  # of a bounded sample
+    sample = seen.groupBy("votes", "found", "hits").agg(F.count(F.lit(1)).alias("n")).collect()  # of a bounded sample
     voters = LEXICON_VOTERS + 2
     codes, place = np.unique([r["votes"] for r in sample], return_inverse=True)
     n = np.asarray([r["n"] for r in sample], float)
@@ -229,7 +229,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "
             z = []
             for t in batch.column(at).to_pylist():
                 found, _ = find(t or "")
-                z.append(model.intercept + sum(model.weights[i] for i in found) + model.repeat_weight * np.log1p(min(sum(found.values()), 20)))
+                z.append(model.intercept + sum(model.weights[i] for i in found) + model.repeat_weight * np.log1p(sum(found.values())))
             p = 1 / (1 + np.exp(-np.clip(np.asarray(z, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=schema.names)
 

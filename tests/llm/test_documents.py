@@ -313,3 +313,23 @@ def test_empty_tables(empty, labels):
     assert sharding.assign_shards(empty, TREE).count() == mixing.mix_sources(empty).count() == 0
     assert minhash.near_duplicates(empty).count() == quality.apply_quality_rules(empty, labels).count() == 0
     assert minhash.keep_one_of_each(empty).count() == quality.keep_good(empty, labels).count() == mixing.in_mixture_order(empty).count() == 0
+
+
+def test_different_texts_under_one_key_are_documents_of_their_own(spark):
+    """In any order of the rows the duplicate goes and the unrelated text under its key stays."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(f"b{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    near = " ".join([*words, "tail"])
+    rows = [(3, a, 1), (5, near, 2), (5, b, 3), (5, b, 4), (7, c, 5), (7, c + " x", 6), (None, c, 7), (None, b + " y", 8), (None, None, 9), (None, None, 10), (8, "", 11), (8, " \n", 12), (None, "some other words without a key", 13)]
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        got = minhash.keep_one_of_each(spark.createDataFrame(order, "doc_id long, text string, n int")).collect()
+        kept = Counter((r["doc_id"], (r["text"] or "").split(" ")[0]) for r in got)
+        assert kept[3, "w0"] == 1 and kept[5, "b0"] == 1 and kept[7, "c0"] == 1 and kept[None, "some"] == 1
+        assert kept[None, ""] == 2 and sum(n for (k, _), n in kept.items() if k == 8) == 2 and sum(kept.values()) == 8
+
+
+def test_a_long_text_is_scored_by_all_its_hits(spark):
+    model = toxicity.Model(["bad"], [0.0], 0.1, -1.0, [], [])
+    rows = spark.createDataFrame([(1, "bad " * 25), (2, "bad " * 500)], "doc_id long, text string")
+    low, high = (r["score"] for r in toxicity.with_score(rows, model).orderBy("doc_id").collect())
+    assert low < high

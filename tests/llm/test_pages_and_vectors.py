@@ -3,6 +3,7 @@ import re
 from math import fsum
 
 import numpy as np
+import pytest
 
 from panelcast.llm import ann
 from panelcast.llm.html import extract_main_text, main_text
@@ -115,3 +116,22 @@ def test_cells_hold_what_the_share_promises():
     for n in (5_000, 48_000, 100_000, 1_000_000, 10**9):
         target = int(ann.SHARE * n) + ann.PER_NEIGHBOUR * 20
         assert ann.TREES * n / 2 ** ann.cell_bits(n, ann.TREES, ann.CELL, target) >= target
+
+
+GOOD = "the word and of it is good text for you. " * 12
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<article><p class="x>Hello there</p><p>More</p></article>', "Hello there\nMore"),
+    (f"<body><form><div><article><p>{GOOD}</p></article></div></form></body>", GOOD.strip()),
+    (f'<article><p>{GOOD}</p><p class="comment">{GOOD}</p><h2 id="related">See</h2><ul><li class="share">share<li>kept</ul></article>', GOOD.strip() + "\nkept"),
+    ('<p class="never closed', ""),
+    (f'<form><p>{GOOD}</p></form>', ""),
+])
+def test_unclosed_quotes_forms_and_marked_blocks(page, want):
+    assert main_text(page) == want
+
+
+def test_the_language_is_found_behind_a_long_head():
+    page = "<!--" + "x" * 5_000 + '--><html lang="de"><body><p>' + "der die und in den von zu das mit sich ein Wort mehr noch dazu. " * 5 + "</p></body></html>"
+    assert main_text(page).startswith("der die")
