@@ -108,7 +108,7 @@ class Memo(dict):
     pieces beyond `limit` become young once more and return at their next use without being computed anew.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 200_000):
         super().__init__()
         self.encode, self.limit, self.young = encode, limit, {}
 
@@ -143,7 +143,7 @@ def load_tokenizer(path: str):
 
 _WORD_MEMOS: dict[str, Memo] = {}
 #: Bytes of text encoded together: the more, the fewer distinct words are looked up twice.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Letters of one code point that lower-casing keeps single, then ASCII marks to the end.
 LETTERS_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: Words of letters encoded in one text.
@@ -184,12 +184,12 @@ def word_ids(path: str) -> Callable[[pa.Array], list[bytes]]:
         def plain(words: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-        letters, others = Memo(_letters_encoder(tokenizer)), Memo(plain)
+        encode_letters, others = _letters_encoder(tokenizer), Memo(plain, 50_000)
 
         def by_stem(words: list[str]) -> list[bytes]:
-            found = [LETTERS_AND_MARKS.fullmatch(w) for w in words]
-            cut = [m and (m[1].lower(), m[2]) for m in found]
-            letters.learn({c[0] for c in cut if c})
+            cut = [m and (m[1].lower(), m[2]) for m in map(LETTERS_AND_MARKS.fullmatch, words)]
+            stems = list({c[0] for c in cut if c})
+            letters = dict(zip(stems, encode_letters(stems)))
             others.learn({c[1] if c else w for c, w in zip(cut, words)})
             return [letters[c[0]] + others[c[1]] if c else others[w] for c, w in zip(cut, words)]
 
