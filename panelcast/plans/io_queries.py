@@ -73,15 +73,25 @@ def upcoming_prices_scan(spark, sf):
     return readers.typed(out, {"event": ("event", "bigint"), "price": ("price", "double")})
 
 
+def one_per_file(documents, path):
+    """Every document a file of its own, as they land."""
+    documents.write.option("maxRecordsPerFile", 1).json(path)
+
+
+def dealt(df, key, rows_each=2_000):
+    """A document number by hash of the key, so many that none holds much more than `rows_each` rows."""
+    n = max(1, -(-df.count() // rows_each))
+    return df.withColumn("document", F.pmod(F.xxhash64(key), F.lit(n)))
+
+
 @query("nested_document_scan", """
 SELECT p_partkey AS id, CASE p_size % 5 WHEN 1 THEN 'GK' WHEN 2 THEN 'DEF' WHEN 3 THEN 'MID' WHEN 4 THEN 'FWD' END AS position, p_size AS now_cost FROM part""")
 def nested_document_scan(spark, sf):
-    """One document per brand, its parts as the nested entities."""
+    """Documents of about two thousand parts each, the parts as the nested entities."""
     e = F.struct(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("element_type"), F.col("p_size").alias("now_cost"))
-    docs = table(spark, sf, "part").groupBy("p_brand").agg(F.collect_list(e).alias("elements")).select("elements")
     path = scratch_path(spark, "documents")
-    docs.write.json(path)
-    d = spark.read.schema(readers.CALENDAR_SCHEMA).json(path)
+    one_per_file(dealt(table(spark, sf, "part"), "p_partkey").groupBy("document").agg(F.collect_list(e).alias("elements")).select("elements"), path)
+    d = readers.read_document(spark, path, readers.CALENDAR_SCHEMA)
     return readers.entities(d).select("id", "position", F.col("now_cost").cast("int").alias("now_cost"))
 
 
@@ -93,19 +103,19 @@ def schedule_document_scan(spark, sf):
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("kickoff_time"), (F.col("o_orderstatus") == "F").alias("finished"),
         F.struct(F.lit(1).alias("ignored")).alias("stats"))
     path = scratch_path(spark, "schedule")
-    d.write.json(path)
-    out = spark.read.schema(readers.SCHEDULE_SCHEMA).json(path).withColumn("kickoff_time", F.try_to_timestamp("kickoff_time"))
+    lists = dealt(d, "id").groupBy("document").agg(F.to_json(F.collect_list(F.struct(*d.columns))).alias("value")).select("value")
+    lists.write.option("maxRecordsPerFile", 1).text(path)  # a file is one list of events
+    out = readers.read_schedule(spark, path)
     return out.select("id", "event", "team_h", F.date_format("kickoff_time", "yyyy-MM-dd").alias("kickoff"), "finished")
 
 
 @query("entity_history_scan", "SELECT o_custkey AS element, o_orderkey AS fixture, CAST(month(o_orderdate) AS BIGINT) AS round, o_totalprice AS value FROM orders")
 def entity_history_scan(spark, sf):
-    """One document per customer, its orders as the nested history."""
+    """Documents of about two thousand orders, whole customers in each, the orders as the nested history."""
     h = F.struct(F.col("o_custkey").alias("element"), F.col("o_orderkey").alias("fixture"), F.month("o_orderdate").alias("round"), F.col("o_totalprice").alias("value"))
-    docs = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(h).alias("history")).select("history")
     path = scratch_path(spark, "histories")
-    docs.write.json(path)
-    return spark.read.schema("history array<struct<element:bigint,fixture:bigint,round:bigint,value:double>>").json(path).select(F.inline("history"))
+    one_per_file(dealt(table(spark, sf, "orders"), "o_custkey").groupBy("document").agg(F.collect_list(h).alias("history")).select("history"), path)
+    return readers.read_histories(spark, path, "element:bigint,fixture:bigint,round:bigint,value:double")
 
 
 @query("last_completed_season", """
@@ -120,12 +130,12 @@ def last_completed_season(spark, sf):
 
 
 def capture_documents(spark, sf):
-    """A JSON document per month and day of capture."""
+    """A JSON document per month, day of capture and hundred entities."""
     cap = captures(spark, sf)
     p = F.struct(F.col("entity").alias("id"), F.col("xp").cast("string").alias("ep_next"), F.col("role").alias("penalties_order"))
     f = F.struct((F.col("entity") % 50).alias("id"), (F.col("entity") % 5 + 1).cast("double").alias("team_h_difficulty"), F.lit(2.0).alias("team_a_difficulty"))
-    return cap.groupBy(F.col("period").alias("gameweek"), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss").alias("captured_at")).agg(
-        F.collect_list(p).alias("players"), F.collect_list(f).alias("fixtures"))
+    return cap.groupBy(F.col("period").alias("gameweek"), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss").alias("captured_at"), F.expr("entity div 100").alias("part")).agg(
+        F.collect_list(p).alias("players"), F.collect_list(f).alias("fixtures")).drop("part")
 
 
 SNAP_IO = with_sql(CAP_SQL) + "SELECT period, entity, xp, role AS penalties_order FROM snap"
@@ -134,14 +144,12 @@ SNAP_IO = with_sql(CAP_SQL) + "SELECT period, entity, xp, role AS penalties_orde
 @query("capture_scan", with_sql(CAP_SQL) + """
 SELECT period, entity, CAST(captured_at AS DATE) AS captured, max(xp) AS xp, count(*) AS n FROM cap GROUP BY ALL""")
 def capture_scan(spark, sf):
-    """Readable captures; a broken file and one without a period in the same folder are skipped."""
+    """Capture documents, one a file; one of them is no JSON and one names no entities."""
     path = scratch_path(spark, "captures")
-    capture_documents(spark, sf).write.json(path)
-    broken = table(spark, sf, "region").select(F.concat(F.lit('{"gameweek": 1, "players": ['), "r_name").alias("value"))
-    broken.write.mode("append").text(path)
-    d = spark.read.schema(readers.CAPTURE_SCHEMA).option("mode", "PERMISSIVE").json(path).withColumn("captured_at", F.try_to_timestamp("captured_at"))
-    ok = d.where(F.col("_corrupt_record").isNull() & F.col("gameweek").isNotNull() & F.col("captured_at").isNotNull() & F.col("players").isNotNull())
-    rows = readers.capture_rows(ok.drop("_corrupt_record"))
+    one_per_file(capture_documents(spark, sf), path)
+    spark.createDataFrame([('{"gameweek": 3, "captured_at',), ('{"gameweek": 3, "captured_at": "1998-01-01T00:00:00"}',)], "value string").repartition(2).write.mode("append").option(
+        "maxRecordsPerFile", 1).text(path)
+    rows = readers.capture_rows(readers.read_captures(spark, path))
     return rows.groupBy("period", "entity", F.col("captured_at").cast("date").alias("captured")).agg(F.max("xp").alias("xp"), F.count("*").alias("n"))
 
 
@@ -302,3 +310,21 @@ def match_states(spark, sf):
         F.col("o_custkey").alias("team_h"), F.when(k % 7 != 0, k).alias("team_a"), (k % 3 == 0).alias("started"),
         F.when(k % 5 != 0, F.col("o_orderstatus") == "F").alias("finished"), F.col("o_orderdate").alias("kickoff_time"))
     return st.match_state(d).drop("kickoff")
+
+
+@query("guarded_captures", with_sql(CAP_SQL) + "SELECT period, entity, CAST(captured_at AS DATE) AS captured, count(*) AS n FROM legal GROUP BY ALL")
+def guarded_captures(spark, sf):
+    """Captures stored day by day of a period; a day at or after the period's deadline is refused."""
+    cap = materialise(captures(spark, sf), "captures")
+    due = {r["period"]: r["deadline"] for r in capture_deadlines(cap).collect()}  # one row a period
+    path, refused = scratch_path(spark, "guarded"), 0
+    # A store takes what was captured before a deadline in one go; here in two, the second after it.
+    for late in (False, True):
+        part = cap.join(capture_deadlines(cap), "period").where((F.col("captured_at") >= F.col("deadline")) == F.lit(late)).drop("deadline")
+        now = max(due.values()) if late else min(due.values()) - datetime.timedelta(days=1)
+        try:
+            sinks.append_capture(part.withColumn("captured_at", F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss")), path, min(due.values()), now)
+        except sinks.DeadlinePassed:
+            refused += 1
+    kept = spark.read.schema("period int, entity bigint, captured_at string").json(path).where(F.lit(refused) == 1)
+    return kept.groupBy("period", "entity", F.to_date(F.substring("captured_at", 1, 10)).alias("captured")).agg(F.count("*").alias("n"))

@@ -350,3 +350,12 @@ def rank_payout_table(spark, sf):
 
     d = line_panel(spark, sf).where("minutes > 0").select("l_orderkey", "defensive_contribution", "bonus")
     return rnd(rank_payouts(d, ["l_orderkey"], "defensive_contribution", "bonus"), ["payout"])
+
+
+@query("penalty_save_rate", with_sql(LINE_SQL) + "SELECT l_partkey % 7 AS part, round(5.0 * coalesce(avg(penalties_saved), 0), 6) AS points FROM line WHERE position = 'GK' AND minutes >= 60 GROUP BY 1")
+def penalty_save_rate(spark, sf):
+    """What a starting keeper collects from penalty saves on average, by part of the table."""
+    from panelcast.operators.models import penalty_save_points
+
+    keepers = line_panel(spark, sf).where("position = 'GK' AND minutes >= 60")
+    return rnd(keepers.groupBy((F.col("l_partkey") % 7).alias("part")).agg(penalty_save_points().alias("points")), ["points"])
