@@ -333,7 +333,7 @@ def lead_time_predictions(spark, sf):
 
 
 _KINDS = {"none": "pred_none", "table": "pred_table", "line": "pred_line"}
-LEAD_SUMMARY = LEAD_SQL + ",\nlq AS (SELECT * REPLACE (round(pred_none, 6) AS pred_none, round(pred_table, 6) AS pred_table, round(pred_line, 6) AS pred_line) FROM lp)," + ",".join(
+LEAD_SUMMARY = LEAD_SQL + ",\nlq AS (SELECT * REPLACE (round(pred_none, 9) AS pred_none, round(pred_table, 9) AS pred_table, round(pred_line, 9) AS pred_line) FROM lp)," + ",".join(
     rho_sql("lq", "season, lead, as_of, position", "points", f"pred_{k}", f"c{k}", 10) + f""",
 x{k} AS (SELECT season, lead, as_of, avg(rho) AS r FROM c{k} GROUP BY ALL), y{k} AS (SELECT season, lead, avg(r) AS rank_{k} FROM x{k} GROUP BY ALL)"""
     for k in _KINDS) + """,
@@ -354,7 +354,7 @@ FROM z JOIN ynone USING (season, lead) JOIN ytable USING (season, lead) JOIN yli
 @query("lead_time_summary", LEAD_SUMMARY)
 def lead_time_summary(spark, sf):
     d = lead_predictions(spark, sf)
-    d = rnd(d, list(_KINDS.values()))
+    d = rnd(d, list(_KINDS.values()), 9)  # equal predictions must rank as equal, and no later rounding may meet a half
     out = mp.summarise_leads(d, _KINDS, "points", paired=("line", "table"))
     return rnd(out, [c for c in out.columns if c not in ("season", "lead", "starts")], 5)
 
