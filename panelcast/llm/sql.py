@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from panelcast.llm.sharding import Node, balanced_tree, grown
+
 #: Base32 of a SHA-1 in hex: ten hex digits give eight characters of five bits.
 BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   1 + ((('0x' || substr(h, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '')"""
@@ -73,4 +75,48 @@ ways AS (SELECT d.*, CASE WHEN tampered THEN other ELSE leaf END AS start, {", "
 SELECT doc_id, leaf, subroot, r.h AS root, sha256({proof}) AS proof_sha256, {last} AS folded_root, {last} = r.h AS verified FROM f{len(ways) - 1}, (SELECT h FROM u{top}) r"""
 
 
-SQL: dict[str, str] = {"op11_warc_archives": WARC, "op12_vector_codes": _codes(), "op13_merkle_manifest": _tree()}
+def _crc32(rows: str, piece: int = 64) -> str:
+    """CTEs up to `crc` (n, crc) over `rows` (n, t): registers of pieces, counted from a text's end, folded into one.
+
+    A register is moved over a whole piece by one table a hex digit; the first piece, shorter than the others, carries the initial register.
+    """
+
+    def moved(c: int, digits: int) -> int:
+        for _ in range(4 * digits):
+            c = (c >> 1) ^ 3988292384 if c & 1 else c >> 1
+        return c
+
+    digit = f"{[moved(v, 1) for v in range(16)]}::BIGINT[]"
+    whole = ", ".join(f"{[moved(v << 4 * k, 2 * piece) for v in range(16)]}::BIGINT[] AS w{k}" for k in range(8))
+    shift = "0"
+    for k in range(8):
+        shift = f"xor({shift}, w{k}[((a >> {4 * k}) & 15) + 1])"
+    return f"""
+hexes AS (SELECT n, hex(encode(t)) AS h, strlen(t) AS size FROM {rows}),
+pieces AS (SELECT n, 0 AS j, 4294967295 AS c, substr(h, 1, 2 * (size % {piece})) AS h FROM hexes
+  UNION ALL SELECT n, j + 1, 0, substr(h, 2 * (size % {piece}) + {2 * piece} * j + 1, {2 * piece}) FROM (SELECT *, unnest(range(size // {piece})) AS j FROM hexes)),
+registers AS (SELECT n, j, list_reduce(list_prepend(c::BIGINT, list_transform(range(len(h)), lambda i: ('0x' || h[i + 2 - 2 * (i % 2)])::BIGINT)),
+  lambda a, b: xor(a >> 4, digit[xor(a & 15, b) + 1])) AS c FROM pieces, (SELECT {digit} AS digit)),
+crc AS (SELECT n, xor(list_reduce(l, lambda a, b: xor({shift}, b)), 4294967295) AS crc
+  FROM (SELECT n, list(c ORDER BY j) AS l FROM registers GROUP BY n), (SELECT {whole}))"""
+
+
+def _shards(tree: Node) -> str:
+    """Every node's draws written out: the lowest of -ln(u) / weight wins, level by level."""
+
+    def reached(node: Node) -> str:
+        if not node.children:
+            return str(node.shard)
+        draws = ", ".join(
+            f"{{'d': -ln((('0x' || substr(md5(k || '/{c.name}'), 1, 13))::BIGINT + 0.5::DOUBLE) / pow(16::DOUBLE, 13)) / {c.weight}::DOUBLE, 'i': {i}}}"
+            for i, c in enumerate(node.children, 1))
+        return f"[{', '.join(map(reached, node.children))}][list_min([{draws}]).i]"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(doc_id::VARCHAR, '~') AS k, coalesce(text, '') AS t FROM documents),{_crc32("d")},
+r AS (SELECT doc_id, k, (strlen(t) + 8)::BIGINT AS size, crc AS text_crc32, {reached(tree)} AS shard, {reached(grown(tree))} AS grown_shard FROM d JOIN crc USING (n))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', k, text_crc32)), doc_id, text_crc32) - 1 AS slot FROM r"""
+
+
+SQL: dict[str, str] = {"op1_hash_tree_sharding": _shards(balanced_tree(3, 2, 4)), "op11_warc_archives": WARC, "op12_vector_codes": _codes(), "op13_merkle_manifest": _tree()}
