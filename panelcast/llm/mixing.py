@@ -3,7 +3,8 @@
 A source of weight w (a share of all slots) gets block k the window [floor(k / w), ceil((k + 1) / w)): its release time
 and its deadline. Earliest deadline first over released blocks places every block inside its window, so that at any
 time a source is less than one block away from its due share. Weights are taken as they are, as ratios of whole numbers,
-and every block has its own window. A caller that names a period gets weights rounded to whole slots of it and a schedule
+and every block has its own window. Chunks of time are dealt side by side: which blocks lie before a chunk follows from
+the shares, so that a schedule of any length is many tasks and every block keeps its window across their borders. A caller that names a period gets weights rounded to whole slots of it and a schedule
 that repeats: block k of a source lies in period k div slots. When a source runs dry the others keep their windows, and
 slots for which nothing is released stay empty; no row is dropped or repeated.
 """
@@ -11,10 +12,11 @@ slots for which nothing is released stay empty; no row is dropped or repeated.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from fractions import Fraction
 from itertools import islice
-from math import lcm
+from math import inf, lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,8 @@ PERIOD = 1000
 BLOCK_ROWS = 8
 #: Target weights by default: a source's number of documents to this power, in relation to the others.
 POWER = 0.7
+#: Slots that a task deals at a time, where no window is longer than a quarter of it, and the most tasks of a schedule.
+CHUNK, TASKS = 1 << 15, 4096
 
 
 def whole_slots(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -36,8 +40,9 @@ def whole_slots(weights: Mapping[str | None, float], period: int = PERIOD) -> di
     names = sorted(weights, key=lambda s: (s is None, s or ""))
     if len(names) > period:
         raise ValueError(f"{len(names)} sources need a period of at least as many slots, not {period}")
-    total = float(sum(weights.values())) or 1.0
-    exact = {s: max(0.0, weights[s]) / total * (period - len(names)) for s in names}
+    usable = {s: float(w) if 0 < w < inf else 0.0 for s, w in weights.items()}
+    total = sum(usable.values()) or 1.0
+    exact = {s: usable[s] / total * (period - len(names)) for s in names}
     slots = {s: 1 + int(exact[s]) for s in names}
     for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], names.index(s)))[: period - sum(slots.values())]:
         slots[s] += 1
@@ -70,47 +75,116 @@ def whole_parts(weights: Sequence[float]) -> list[int]:
     return [int(x * unit) for x in exact]
 
 
-def pfair_blocks(parts: Sequence[int], blocks: Sequence[int]) -> Iterator[tuple[int, int, int, int, int]]:
+def pfair_blocks(parts: Sequence[int], blocks: Sequence[int], first: Sequence[int] | None = None, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(source, block, release, deadline, slot) of every block by earliest deadline first, ties to the first source.
 
     A source's weight is its share of the sum of `parts`. Only blocks that exist compete, one of each source at a time.
+    With `first`, `start` and `end`, a source's blocks from `first` up to `blocks` go into the slots from `start` up to `end`.
     """
     total = sum(parts)
-    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]
-    ready: list[tuple[int, int, int, int]] = []
-    slot = 0
+    begun = first or [0] * len(parts)
+    waiting = [(max(start, k * total // p), i, k) for i, (p, k, n) in enumerate(zip(parts, begun, blocks)) if k < n]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    slot = start
     while waiting or ready:
         if not ready:
             slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            release, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * total // parts[i]), i, k, release))
-        deadline, i, k, release = heapq.heappop(ready)
-        yield i, k, release, deadline, slot
+            _, i, k = heapq.heappop(waiting)
+            deadline = -(-(k + 1) * total // parts[i])
+            heapq.heappush(ready, (deadline if end is None else min(deadline, end), i, k))
+        deadline, i, k = heapq.heappop(ready)
+        if slot >= deadline:
+            raise ValueError(f"block {k} of source {i} misses slot {deadline}")
+        yield i, k, k * total // parts[i], -(-(k + 1) * total // parts[i]), slot
         if k + 1 < blocks[i]:
-            heapq.heappush(waiting, ((k + 1) * total // parts[i], i, k + 1))
+            heapq.heappush(waiting, (max(start, (k + 1) * total // parts[i]), i, k + 1))
         slot += 1
 
 
-def block_schedule(spark: SparkSession, kind: T.DataType, weights: Mapping[str | None, float], counts: Mapping[str | None, int], block_rows: int) -> DataFrame:
-    """s, kk, release, deadline, slot, weight: a row per block. One task deals all blocks in turn, holding one of each source.
+def busy_runs(parts: Sequence[int], first: Sequence[int], last: Sequence[int]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of slots that blocks from `first` up to `last` fill, each as early as its release allows."""
+    total = sum(parts)
+
+    def releases(p: int, k: int, n: int) -> Iterator[int]:
+        return (j * total // p for j in range(k, n))
+
+    starts: list[int] = []
+    ends: list[int] = []
+    for release in heapq.merge(*map(releases, parts, first, last)):
+        if not ends or release > ends[-1]:
+            starts.append(release)
+            ends.append(release)
+        ends[-1] += 1
+    return starts, ends
+
+
+def blocks_before(parts: Sequence[int], blocks: Sequence[int], at: int) -> list[int]:
+    """How many blocks of each source a schedule deals before slot `at`, found without dealing what lies further back.
 
-    Sources whose weight is not positive have no share; their rows follow after all others, by their numbers of rows.
+    These are all blocks due by then and, of those whose window `at` cuts, as many as the shares before `at` add up to:
+    by earliest deadline, where a slot from its release on is left by the blocks due. Blocks taken so leave a schedule
+    on either side: slots before `at` are lacking for no set of released blocks, and the others have the latest deadlines.
+    """
+    total = sum(parts)
+    count = [min(n, at * p // total) for p, n in zip(parts, blocks)]
+    cut = [i for i, (p, n, k) in enumerate(zip(parts, blocks, count)) if k < n and at * p % total]
+    ahead = sum(at * parts[i] % total for i in cut) // total
+    if not ahead:
+        return count
+    windows = sorted((-(-(count[i] + 1) * total // parts[i]), i, count[i] * total // parts[i]) for i in cut)
+    begin = min(release for _, _, release in windows)
+    starts, ends = busy_runs(parts, [min(k, -(-begin * p // total)) for p, k in zip(parts, count)], count)
+    taken: dict[int, int] = {}
+    for _, i, release in windows:
+        path, slot = [], release
+        while True:
+            run = bisect_right(starts, slot) - 1
+            further = taken.get(slot) or (ends[run] if run >= 0 and ends[run] > slot else slot)
+            if further == slot:
+                break
+            path.append(slot)
+            slot = further
+        if slot < at:
+            path.append(slot)
+            count[i] += 1
+            ahead -= 1
+            slot += 1
+        taken.update(dict.fromkeys(path, slot))
+        if not ahead:
+            return count
+    raise ValueError(f"no schedule passes slot {at}")
+
+
+def block_schedule(spark: SparkSession, kind: T.DataType, weights: Mapping[str | None, float], counts: Mapping[str | None, int], block_rows: int, chunk: int = CHUNK) -> DataFrame:
+    """s, kk, release, deadline, slot, weight: a row per block.
+
+    Time is cut into chunks of at least `chunk` slots and four of the longest windows. A task knows from the shares alone which blocks lie
+    before its chunk and which before the next one, deals those between and holds one block of each source.
+    Sources whose weight is not positive and finite have no share; their rows follow after all others, by their numbers of rows.
     """
     names = sorted(counts, key=lambda s: (s is None, s or ""))
-    runs = [[i for i, s in enumerate(names) if (weights[s] > 0) is share] for share in (True, False)]
-    plans = [(own, whole_parts([weights[names[i]] if share else counts[names[i]] for i in own]), [-(-counts[names[i]] // block_rows) for i in own]) for own, share in zip(runs, (True, False))]
+    plans, start = [], 0
+    for own in ([i for i, s in enumerate(names) if (0 < weights[s] < inf) is share] for share in (True, False)):
+        given = [weights[names[i]] if not plans else counts[names[i]] for i in own]
+        parts, blocks = whole_parts(given), [-(-counts[names[i]] // block_rows) for i in own]
+        total = sum(parts)
+        length = max([chunk, *(4 * (total // p + 2) for p in parts)])
+        end = max((-(-n * total // p) for n, p in zip(blocks, parts)), default=0)
+        plans.append((own, parts, blocks, length, start))
+        start += end
+    chunks = [-(-(after - plan[4]) // plan[3]) for plan, after in zip(plans, (plans[1][4], start))]
     fields = [f"{OWN}{c}" for c in ("i", "kk", "release", "deadline", "slot")]
 
-    def deal(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = 0
-        for own, parts, blocks in plans:
-            dealt, slot = pfair_blocks(parts, blocks), -1
+    def deal(numbers: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in (n for batch in numbers for n in batch.column(0).to_pylist()):
+            own, parts, blocks, length, start = plans[number >= chunks[0]]
+            at = (number - chunks[0] * (number >= chunks[0])) * length
+            dealt = pfair_blocks(parts, blocks_before(parts, blocks, at + length), blocks_before(parts, blocks, at), at, at + length)
             while rows := list(islice(dealt, 20_000)):
-                slot = rows[-1][4]
-                moved = [(own[i], k, release + start, deadline + start, at + start) for i, k, release, deadline, at in rows]
+                moved = [(own[i], k, release + start, deadline + start, slot + start) for i, k, release, deadline, slot in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*moved)], names=fields)
-            start += slot + 1
 
     whole = sum(plans[0][1])
     share = {i: w / whole for i, w in zip(*plans[0][:2])}
@@ -118,7 +192,8 @@ def block_schedule(spark: SparkSession, kind: T.DataType, weights: Mapping[str |
         [(s, i, share.get(i, 0.0)) for i, s in enumerate(names)],
         T.StructType([T.StructField(f"{OWN}s", kind), T.StructField(f"{OWN}i", T.LongType()), T.StructField(f"{OWN}weight", T.DoubleType())]),
     )
-    blocks = spark.range(0, 1, 1, 1).mapInArrow(deal, ", ".join(f"{c} long" for c in fields))
+    tasks = spark.range(0, sum(chunks), 1, max(1, min(sum(chunks), TASKS)))
+    blocks = tasks.mapInArrow(deal, ", ".join(f"{c} long" for c in fields))
     return blocks.join(named, f"{OWN}i").drop(f"{OWN}i")
 
 
@@ -126,7 +201,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     """All columns of `docs` and: block, release, deadline, slot, place (in the block), weight, prefixed with the operator's own mark.
 
     Rows of a source are numbered in hash order of their key; a source may hold most rows. Sources without a weight, and
-    all sources where `weights` is None, weigh their number of rows to `power`, in relation to the others. A null source is a source. With a
+    all sources where `weights` is None, weigh their number of rows to `power`, in relation to the others. A null source is a source. Weights that
+    are not positive and finite give no share: those rows follow after all others, or have one slot of a period. With a
     `period`, weights are rounded to whole slots of it, and more sources than slots are refused. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -134,8 +210,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     counts = {r[0]: r[1] for r in (sizes if period is None else sizes.limit(period + 1)).collect()}
     natural = {s: float(n) ** power for s, n in counts.items()}
     if weights is not None:
-        known = sum(natural[s] for s in natural if s in weights) or 1.0
-        scale = sum(weights[s] for s in natural if s in weights) / known
+        usable = [s for s in natural if s in weights and 0 <= weights[s] < inf]
+        scale = sum(weights[s] for s in usable) / (sum(natural[s] for s in usable) or 1.0)
         natural = {s: float(weights[s]) if s in weights else n * scale for s, n in natural.items()}
     numbered = number_rows(docs.withColumn(f"{OWN}order", spread_key(key)), [source], [f"{OWN}order", key], f"{OWN}row")
     numbered = numbered.withColumn(f"{OWN}block", F.floor(F.col(f"{OWN}row") / block_rows).cast("long"))

@@ -127,6 +127,61 @@ def test_sources_without_a_share_come_last(spark):
     assert len(got) == 100 and all(r[f"{OWN}slot"] > last for r in got if r["source"] == "a")
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_chunks_are_one_schedule(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 14))
+    weights = [float(w) for w in (rng.random(n) + 0.01, rng.choice([1, 2, 3, 5, 7, 0.5, 0.1], n), rng.random(n) ** 6 + 0.01)[seed % 3]]
+    parts = mixing.whole_parts(weights)
+    total = sum(parts)
+    longest = max(total // p + 2 for p in parts)
+    whole = 6 * longest * np.array(weights) / sum(weights) + 1
+    blocks = [int(b) for b in (whole if seed % 2 else whole * rng.random(n))]
+    length, before, slots, seen, at = int(rng.integers(longest, 3 * longest)), [0] * n, set(), [0] * n, 0
+    while before != blocks:
+        after = mixing.blocks_before(parts, blocks, at + length)
+        for i, k, release, deadline, slot in mixing.pfair_blocks(parts, after, before, at, at + length):
+            assert k == seen[i] and slot not in slots and at <= slot < at + length
+            assert k * total // parts[i] == release <= slot < deadline == -(-(k + 1) * total // parts[i])
+            seen[i] += 1
+            slots.add(slot)
+        assert seen == after
+        assert all(abs(a * total - min((at + length) * p, b * total)) < total for a, b, p in zip(after, blocks, parts))
+        before, at = after, at + length
+
+
+def test_borders_are_found_where_the_largest_shares_fail():
+    # two blocks come out just before the border; taking the largest shares before it would put both into its last slot
+    parts = [45, 45, *[1] * 10]
+    for at in range(1, 400):
+        counts = mixing.blocks_before(parts, [10**6] * 12, at)
+        assert sum(counts) == at and all(abs(c * 100 - at * p) < 100 for c, p in zip(counts, parts))
+    assert len(list(mixing.pfair_blocks(parts, mixing.blocks_before(parts, [10**6] * 12, 200), mixing.blocks_before(parts, [10**6] * 12, 99), 99, 200))) == 101
+
+
+def test_mixing_in_many_chunks(spark, monkeypatch):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 5).cast("string")).alias("source"))
+    monkeypatch.setattr(mixing.block_schedule, "__defaults__", (64,))
+    table = mixing.block_schedule(spark, docs.schema["source"].dataType, {"hot": 3.0, "0": 1.0, "1": 1.5, "2": 0.0}, {"hot": 13_333, "0": 9_000, "1": 5_000, "2": 77}, 8)
+    rows = table.collect()
+    assert table.rdd.getNumPartitions() > 1 and len(rows) == len({r[f"{OWN}slot"] for r in rows}) == sum(-(-n // 8) for n in (13_333, 9_000, 5_000, 77))
+    assert all(r[f"{OWN}release"] <= r[f"{OWN}slot"] < r[f"{OWN}deadline"] for r in rows)
+    assert min(r[f"{OWN}slot"] for r in rows if r[f"{OWN}s"] == "2") > max(r[f"{OWN}slot"] for r in rows if r[f"{OWN}s"] != "2")
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) == 40_000 and all(r[f"{OWN}release"] <= r[f"{OWN}slot"] < r[f"{OWN}deadline"] for r in got)
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), -1.0, 0.0])
+@pytest.mark.parametrize("period", [None, 50])
+def test_odd_weights_give_no_share(spark, odd, period):
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(["a"] * 50 + ["b"] * 300 + [None] * 20)], "doc_id long, source string")
+    got = mixing.mix_sources(docs, weights={"a": odd, "b": 1.0}, period=period).collect()
+    assert len(got) == 370 and all(r[f"{OWN}slot"] is not None for r in got)
+    if period is None:
+        last = max(r[f"{OWN}slot"] for r in got if r["source"] != "a")
+        assert all(r[f"{OWN}slot"] > last and r[f"{OWN}weight"] == 0 for r in got if r["source"] == "a")
+
+
 def test_mixture_order_is_the_files_order(spark, documents):
     from panelcast.session import scratch_path
 
