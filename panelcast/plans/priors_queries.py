@@ -81,10 +81,14 @@ def name_pool(spark, sf):
     return d.withColumn("position", position_of("entity"))
 
 
-def scored_names(spark, sf):
+def asked_and_keys(spark, sf):
     pool = name_pool(spark, sf)
     keys = mt.name_keys(pool, "entity", [F.col("p_name"), F.element_at(F.split("p_name", " "), -1)])
-    asked = typed_names(spark, sf).select("want").distinct()
+    return typed_names(spark, sf).select("want").distinct(), keys, pool
+
+
+def scored_names(spark, sf):
+    asked, keys, pool = asked_and_keys(spark, sf)
     return mt.score_names(asked, keys, "entity"), pool
 
 
@@ -96,12 +100,14 @@ def fuzzy_name_scores(spark, sf):
 
 @query("fuzzy_top_candidates")
 def fuzzy_top_candidates(spark, sf):
-    scored, _ = scored_names(spark, sf)
-    return mt.top_candidates(scored, "entity").withColumn("score", F.round("score", 6))
+    asked, keys, _ = asked_and_keys(spark, sf)
+    return mt.nearest_names(asked, keys, "entity").withColumn("score", F.round("score", 6))
 
 
 @query("resolve_typed_squads")
 def resolve_typed_squads(spark, sf):
-    scored, pool = scored_names(spark, sf)
-    cand = mt.top_candidates(scored, "entity").join(pool.select("entity", "position"), "entity")
+    asked, keys, pool = asked_and_keys(spark, sf)
+    # What scores less than the last threshold is never accepted.
+    near = mt.nearest_names(asked, keys, "entity", steps=(0.85, mt.MIN_MATCH))
+    cand = near.join(pool.select("entity", "position"), "entity")
     return mt.resolve_squads(typed_names(spark, sf), cand, "squad", "slot", "entity", "position")

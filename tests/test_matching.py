@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -37,6 +38,59 @@ def test_no_pair_above_the_threshold_is_lost(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_blocks_of_many_pairs_at_once(monkeypatch):
+    rng = random.Random(7)
+    some = ["".join(rng.choice("abcd é🙂") for _ in range(rng.randint(0, 15))) for _ in range(4_000)]
+    pairs = [*zip(some, reversed(some)), ("", ""), ("", "x"), ("abxcd", "abcd"), ("ab" * 400, "ba" * 90)]
+    want = [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+    assert mt.similarity(*map(list, zip(*pairs))).tolist() == want
+    monkeypatch.setattr(mt, "CELLS", 50)
+    assert mt.similarity(*map(list, zip(*pairs))).tolist() == want and mt.similarity([], []).tolist() == []
+
+
+def best_of_all(typed, pool, top):
+    """Every entity scored, the best `top` kept, ties to the lower number."""
+    out = {}
+    for t in typed:
+        scores = {}
+        for i, k in pool:
+            s = 1.0 if t == k else max(SequenceMatcher(None, t, k).ratio(), 0.93 if t in k else 0.0)
+            scores[i] = max(scores.get(i, 0.0), s)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:top]
+        out |= {(t, n): (i, pytest.approx(s)) for n, (i, s) in enumerate(best, 1)}
+    return out
+
+
+@pytest.mark.parametrize("top", [1, 8, 40])
+def test_the_nearest_names_come_whatever_they_score(spark, top):
+    pool = [(i // 2, k) for i, k in enumerate(POOL)]
+    typed = [*TYPED, "", "12345", "qqqq"]
+    asked = spark.createDataFrame([(t,) for t in [*typed, typed[0], None]], "want string")
+    got = mt.nearest_names(asked, spark.createDataFrame(pool, "entity int, key string"), "entity", top).collect()
+    found = {(r["want"], r["rank"]): (r["entity"], r["score"]) for r in got}
+    want = best_of_all(typed, pool, top)
+    assert len(got) == len(found) == len(typed) * min(top, len(POOL) // 2) and found == want
+
+
+def test_nearest_names_of_nothing(spark):
+    keys = spark.createDataFrame(list(enumerate(POOL)), "entity int, key string")
+    asked = spark.createDataFrame([("saka",)], "want string")
+    assert mt.nearest_names(asked.limit(0), keys, "entity").count() == 0 and mt.nearest_names(asked, keys.limit(0), "entity").count() == 0
+
+
+def test_the_queries_are_the_best_of_all(spark, sf):
+    from panelcast.plans import priors_queries as q
+
+    asked, keys, _ = q.asked_and_keys(spark, sf)
+    want = best_of_all([r[0] for r in asked.collect()], [tuple(r) for r in keys.select("entity", "key").collect()], 8)
+    got = q.fuzzy_top_candidates(spark, sf).collect()
+    assert {(r["want"], r["rank"]): r["entity"] for r in got} == {k: e for k, (e, _) in want.items()}
+    old, pool = q.scored_names(spark, sf)
+    cand = mt.top_candidates(old, "entity").join(pool.select("entity", "position"), "entity")
+    plain = mt.resolve_squads(q.typed_names(spark, sf), cand, "squad", "slot", "entity", "position").collect()
+    assert sorted(map(repr, plain)) == sorted(map(repr, q.resolve_typed_squads(spark, sf).collect()))
+
+
 def test_the_query_loses_no_pair_either(spark, sf):
     from panelcast.plans.priors_queries import name_pool, scored_names, typed_names
 
