@@ -24,7 +24,7 @@ GOOD_MATCH, MIN_MATCH, CONTAINED, EXACT = 0.7, 0.62, 0.93, 0.999
 QUOTA = {"GK": 2, "DEF": 5, "MID": 5, "FWD": 3}
 HEAD = 3
 #: Falling thresholds of the search for the best few. At zero, any shared character makes a pair.
-STEPS = (0.85, MIN_MATCH, 0.3, 0.0)
+STEPS = (0.85, MIN_MATCH, 0.0)
 #: Cells of a padded block of names that are compared side by side.
 CELLS = 1 << 21
 
