@@ -82,7 +82,7 @@ def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     memo = _WORD_HASHES
-    if len(memo) > 400_000:
+    if len(memo) > 100_000:
         memo.clear()
     for w in set(words):
         if w not in memo:
