@@ -5,10 +5,11 @@ descends in every tree to the entries that share the longest prefix with its own
 together, one bit at a time, until they hold enough candidates between them. Vectors are first lifted to one sphere by one added
 coordinate, so that the smallest angle is the largest inner product, whatever the lengths.
 
-Arrays are cut by the first bits of their strings into cells that are sorted and searched by themselves; large cells are
+For the descent, arrays of strings alone are cut by their first bits into cells that are sorted and searched by themselves; large cells are
 cut further into blocks, each of which meets the queries of its cell. A query whose own cells hold too little ascends
-past their borders and visits all cells below its shorter prefix, up to whole trees. Candidates are scored where they lie, in double
-precision, and only the nearest of each block come out. Equal vectors share one entry.
+past their borders, up to whole trees. For the ascent each vector is dealt once, to a block that holds its part of every tree, so no tree
+carries a copy of the vectors; every block gives each query the nearest of the entries that its trees hold at the common level,
+scored once each in double precision. Equal vectors share one entry.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ SHARE = 1.4
 #: And so many candidates more for each neighbour asked for: in small tables this is all there is.
 PER_NEIGHBOUR = 200
 BLOCK, QUERY_BLOCK = 50_000, 4_000
+#: Blocks that vectors are dealt to at least for the ascent, where they hold as many entries as a cell: a task each.
+LEAST_BLOCKS = 24
+#: Queries that a block of vectors meets at a time.
+QUERY_SLICE = 512
 
 
 def planes(tree: int, dim: int, bits: int = BITS) -> np.ndarray:
@@ -115,7 +120,7 @@ def _grouped(rows: DataFrame, schema: str, work: Callable, by: tuple[str, ...],
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, "<f8").reshape(len(column), -1)
 
@@ -191,10 +196,8 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
             counts[:, d] = np.searchsorted(array, high, "right") - np.searchsorted(array, low, "left")
         yield pa.RecordBatch.from_arrays([t.column("qid").combine_chunks().take(pa.array(at)), pa.array(list(counts), pa.list_(pa.int64()))], names=["qid", "n"])
 
-    chunk = F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-questions.count() // QUERY_BLOCK)))).cast("int")
-    per_block = lambda df, *more: df.join(sizes, list(place)).select(*place, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "s", "qid", "vec", *more)
-    probe = per_block(found)
-    strings_only = entries.select(*place, "block", F.lit(0).alias("role"), "s", F.lit(None).cast("long").alias("qid")).union(probe.drop("vec"))
+    probe = found.join(sizes, list(place)).select(*place, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "s", "qid")
+    strings_only = entries.select(*place, "block", F.lit(0).alias("role"), "s", F.lit(None).cast("long").alias("qid")).union(probe)
     per_tree = _grouped(strings_only, "qid long, n array<long>", levels, (*place, "block"), ("role",))
     summed = per_tree.select("qid", F.posexplode("n").alias("d", "n")).groupBy("qid", "d").agg(F.sum("n").alias("n"))
     # above the cells, whole cells are counted; a query that finds too little in whole trees takes them all
@@ -205,36 +208,14 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     enough = summed.union(over).groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("n") >= target, F.col("d"))), F.lit(0)).cast("int").alias("level"))
     level = materialise(enough, "levels")
 
-    # ascent: every tree gives the entries at the common level, from all cells below it
-    def nearest(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        role = t.column("role").to_numpy()
-        at, base = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
-        if not len(at) or not len(base):
-            return
-        s = t.column("s").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-        base = base[np.argsort(s[base], kind="stable")]
-        x, array = _matrix(t.column("vec").take(pa.array(base))), s[base]
-        ids = t.column("ids").take(pa.array(base)).to_pylist()
-        q, depth = _matrix(t.column("vec").take(pa.array(at))), t.column("level").to_numpy()[at].astype(int)
-        qid = t.column("qid").to_numpy()[at].astype(np.int64)
-        out_q, out_id, out_s = [], [], []
-        for i in range(len(at)):
-            d = np.uint64(BITS - depth[i])
-            low = s[at[i]] >> d << d if depth[i] else np.uint64(0)
-            high = low | (np.uint64(0xFFFFFFFFFFFFFFFF) >> np.uint64(depth[i]) if depth[i] < BITS else np.uint64(0))
-            a, b = np.searchsorted(array, low, "left"), np.searchsorted(array, high, "right")
-            _take_nearest(x[a:b], ids[a:b], q[i], qid[i], k, out_q, out_id, out_s)
-        yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    beyond = F.greatest(F.lit(prefix) - F.col("level"), F.lit(0))
-    first = F.expr("shiftleft(shiftright(cell, beyond), beyond)")
-    below = F.explode(F.sequence(first, first + F.expr("shiftleft(1L, beyond)") - 1)).alias("cell")
-    visits = found.join(level, "qid").withColumn("beyond", beyond).select("qid", "vec", "dim", "tree", "s", "level", below)
-    asked_at = per_block(visits, "level").withColumn("chunk", chunk)
-    chunks = asked_at.groupBy(*place, "block").agg(F.collect_set("chunk").alias("chunks"))  # of at most the number of query blocks
-    stored = entries.join(chunks, [*place, "block"]).select(*place, "block", F.explode("chunks").alias("chunk"), F.lit(0).alias("role"), "s", F.lit(None).cast("long").alias("qid"), F.lit(None).cast("int").alias("level"), "ids", "vec")
-    both = stored.union(asked_at.select(*place, "block", "chunk", "role", "s", "qid", "level", F.lit(None).cast("array<long>").alias("ids"), "vec"))
-    hits = materialise(_grouped(both, "query_id long, vec_id long, score double", nearest, (*place, "block", "chunk"), ("role",)), "hits")
+    # ascent: every tree gives the entries at the common level. Vectors are dealt once, in blocks by hash; the trees' strings
+    # follow from a vector, so a block's part of every tree is sorted where the block lies
+    parts = max(-(-n // BLOCK), min(LEAST_BLOCKS, -(-n // cell)), 1)
+    base = index.select(F.pmod(F.xxhash64("vec"), F.lit(parts)).cast("int").alias("block"), F.octet_length("vec").alias("width"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("qid"), F.lit(None).cast("int").alias("level"), "ids", "vec")
+    asked_at = questions.join(level, "qid").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"), F.octet_length("vec").alias("width"), F.lit(1).alias("role"), "qid", F.col("level"), F.lit(None).cast("array<long>").alias("ids"), "vec")
+    nearest = lambda batches: _ascend(batches, trees, longest, k)
+    both = base.union(asked_at).repartition("block", "width").sortWithinPartitions("block", "width", "role")
+    hits = materialise(both.mapInArrow(nearest, "query_id long, vec_id long, score double"), "hits")
 
     have = hits.groupBy("query_id").agg(F.count_distinct("vec_id").alias("have"))
     few = questions.join(have, F.col("qid") == F.col("query_id"), "left").filter(F.coalesce("have", F.lit(0)) < k).select("qid", "vec")
@@ -254,16 +235,77 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(np.frombuffer(v, "<f8"))) for v in b.column(1).to_pylist()], pa.float64())], names=["n"])
 
 
-def _take_nearest(x: np.ndarray, ids: list, q: np.ndarray, qid: int, k: int, out_q: list, out_id: list, out_s: list) -> None:
-    """Appends the k nearest of the entries for one query, leaving out its own id; scores are the sums of the products, rounded once."""
-    if not len(x):
-        return
-    rough = x @ q
+class _Block:
+    """A block's vectors with every tree's part of them: its strings in order and the entry of each."""
+
+    def __init__(self, table: pa.Table, trees: int, longest: float):
+        self.x, self.ids = _matrix(table.column("vec")), table.column("ids").to_pylist()
+        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
+        for tree in range(trees):
+            s = np.concatenate([strings(lift(self.x[at : at + 2_000], longest), tree) for at in range(0, len(self.x), 2_000)])
+            order = np.argsort(s, kind="stable")
+            self.lists.append((s[order], order.astype(np.int32)))
+
+    def answer(self, part: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The k nearest of the block for each query, among the entries that any tree holds below the query's level."""
+        q, depth = _matrix(part.column("vec")), part.column("level").to_numpy().astype(np.uint64)
+        qid = part.column("qid").to_numpy()
+        lifted = np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
+        ranges = []
+        full, whole = np.uint64(0xFFFFFFFFFFFFFFFF), depth == 0
+        keep = np.where(whole, np.uint64(0), full << np.where(whole, np.uint64(0), np.uint64(BITS) - depth))
+        for tree, (array, _) in enumerate(self.lists):
+            low = strings(lifted, tree) & keep
+            ranges.append((np.searchsorted(array, low, "left"), np.searchsorted(array, low | ~keep, "right")))
+        out_q, out_id, out_s = [], [], []
+        for i in range(len(q)):
+            met = np.zeros(len(self.x), bool)
+            for (a, b), (_, order) in zip(ranges, self.lists):
+                met[order[a[i] : b[i]]] = True
+            at = np.flatnonzero(met)
+            if len(at):
+                # where most are met, a product over the whole block costs less than a copy of those met
+                rough = (self.x @ q[i])[at] if 2 * len(at) > len(self.x) else self.x[at] @ q[i]
+                _take_nearest(self.x, self.ids, q[i], qid[i], k, out_q, out_id, out_s, rough, at)
+        return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def _ascend(batches: Iterator[pa.RecordBatch], trees: int, longest: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of one width each, vectors first: these are held, and their queries stream past in slices."""
+    held: list[pa.RecordBatch] = []
+    block, last = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "width"))))
+        roles = batch.column("role").to_numpy()
+        at = 0
+        for i in range(1, len(keys) + 1):
+            if i < len(keys) and keys[i] == keys[at] and roles[i] == roles[at]:
+                continue
+            if keys[at] != last:
+                held, block, last = [], None, keys[at]
+            part = batch.slice(at, i - at)
+            if roles[at] == 0:
+                held.append(part.select(["ids", "vec"]))
+            elif held or block is not None:
+                if block is None:
+                    block, held = _Block(pa.Table.from_batches(held), trees, longest), []
+                for first in range(0, part.num_rows, QUERY_SLICE):
+                    yield block.answer(part.slice(first, QUERY_SLICE), k)
+            at = i
+
+
+def _take_nearest(x: np.ndarray, ids: list, q: np.ndarray, qid: int, k: int, out_q: list, out_id: list, out_s: list, rough: np.ndarray, at: np.ndarray | None = None) -> None:
+    """Appends the k nearest of the entries for one query, leaving out its own id; scores are the sums of the products, rounded once.
+
+    `rough` holds the products up to rounding, of the entries `at` or of all."""
     if len(rough) > 2 * k + 2:
         least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
         pick = np.flatnonzero(rough >= least - 1e-9 * max(1.0, abs(least)))
     else:
         pick = np.arange(len(rough))
+    pick = pick if at is None else at[pick]
     rows = sorted((-fsum(p), i) for j, p in zip(pick, (x[pick] * q).tolist()) for i in ids[j] if i != qid)[:k]
     out_q += [int(qid)] * len(rows)
     out_id += [i for _, i in rows]
@@ -286,7 +328,8 @@ def against_all(index: DataFrame, queries: DataFrame, n: int, k: int) -> DataFra
             own = [ids[i] for i in base]
             for i in np.flatnonzero(role == 1):
                 if len(raws[i]) == width:
-                    _take_nearest(x, own, np.frombuffer(raws[i], "<f8"), qid[i], k, out_q, out_id, out_s)
+                    v = np.frombuffer(raws[i], "<f8")
+                    _take_nearest(x, own, v, qid[i], k, out_q, out_id, out_s, x @ v)
         yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
 
     return _grouped(base.union(asked), "query_id long, vec_id long, score double", work, ("block", "chunk"), ("role",))

@@ -118,6 +118,41 @@ def test_cells_hold_what_the_share_promises():
         assert ann.TREES * n / 2 ** ann.cell_bits(n, ann.TREES, ann.CELL, target) >= target
 
 
+def test_a_vector_is_dealt_once_however_many_trees_and_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(16).astype("f4").tolist()) for i in range(2_000)]
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
+    dealt, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+
+    def mapped(self, func, *rest, **more):
+        if {"role", "vec"} <= set(self.columns):
+            dealt.append(self.where("role = 0"))
+        return plain(self, func, *rest, **more)
+
+    monkeypatch.setattr(kind, "mapInArrow", mapped)
+    got = run(spark, rows, rows[::20], cell=100)
+    assert len(got) == 100 and [d.count() for d in dealt] == [2_000]
+
+
+def test_the_ascent_gives_what_the_trees_hold_at_the_common_level(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(12).astype("f4").tolist()) for i in range(1_500)]
+    x = np.asarray([v for _, v in rows], float)
+    longest = float(np.linalg.norm(x, axis=1).max())
+    trees, share = 6, 0.02
+    got = run(spark, rows, rows[::100], trees=trees, cell=50, share=share, k=5)
+    held = [ann.strings(ann.lift(x, longest), t) for t in range(trees)]
+    for q, v in rows[::100]:
+        v = np.asarray(v, float)
+        own = [ann.strings(np.hstack([v / np.linalg.norm(v), 0.0])[None], t)[0] for t in range(trees)]
+        under = lambda d: [(h >> np.uint64(64 - d)) == (o >> np.uint64(64 - d)) if d else np.ones(len(h), bool) for h, o in zip(held, own)]  # noqa: E731, B023
+        target = int(share * len(rows)) + ann.PER_NEIGHBOUR * 5
+        level = max((d for d in range(65) if sum(m.sum() for m in under(d)) >= target), default=0)
+        met = np.flatnonzero(np.any(under(level), axis=0))
+        assert got[q] == exact([rows[i] for i in met], [(q, v.tolist())], 5)[q]
+
+
 GOOD = "the word and of it is good text for you. " * 12
 
 
