@@ -129,12 +129,21 @@ def last_completed_season(spark, sf):
     return readers.last_records(docs)
 
 
+#: Entities of a capture document.
+ENTITIES = 2_000
+
+
 def capture_documents(spark, sf):
-    """A JSON document per month, day of capture and hundred entities."""
+    """JSON documents of one time of capture and about two thousand entities each."""
     cap = captures(spark, sf)
+    at = ["period", "captured_at"]
+    # a time of capture has as many parts as its own rows need; a row a time is joined back
+    sizes = cap.groupBy(*at).agg(F.ceil(F.count("*") / ENTITIES).cast("int").alias("parts"))
+    same = F.col("period").eqNullSafe(F.col("__period")) & F.col("captured_at").eqNullSafe(F.col("__at"))
+    cap = cap.join(sizes.select(F.col("period").alias("__period"), F.col("captured_at").alias("__at"), "parts"), same).withColumn("part", F.pmod(F.xxhash64("entity"), F.col("parts"))).drop("__period", "__at")
     p = F.struct(F.col("entity").alias("id"), F.col("xp").cast("string").alias("ep_next"), F.col("role").alias("penalties_order"))
     f = F.struct((F.col("entity") % 50).alias("id"), (F.col("entity") % 5 + 1).cast("double").alias("team_h_difficulty"), F.lit(2.0).alias("team_a_difficulty"))
-    return cap.groupBy(F.col("period").alias("gameweek"), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss").alias("captured_at"), F.expr("entity div 100").alias("part")).agg(
+    return cap.groupBy(F.col("period").alias("gameweek"), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss").alias("captured_at"), "part").agg(
         F.collect_list(p).alias("players"), F.collect_list(f).alias("fixtures")).drop("part")
 
 

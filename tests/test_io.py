@@ -156,3 +156,16 @@ def test_as_of_matches_brute_force(spark, strict, kind):
     for i, k, t in asks:
         past = [(u, v) for (kk, u), v in history.items() if kk == k and (u < t or (u == t and not strict))]
         assert got[i] == (max(past)[1] if past else None)
+
+
+def test_capture_documents_follow_the_rows_of_a_capture_not_its_keys(spark, tmp_path):
+    from panelcast.plans import io_queries as q
+
+    day = datetime.datetime(1998, 1, 5)
+    rows = [(i, 1_000 * i, day) for i in range(3_000)] + [(5_000 + i, None if i else 7, day + datetime.timedelta(days=1)) for i in range(2)] + [(6_000, 8, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    documents = q.capture_documents(spark, str(tmp_path))
+    sizes = sorted(r["n"] for r in documents.where("gameweek IS NOT NULL").select(F.size("players").alias("n")).collect())
+    assert sum(sizes) == 3_002 and len(sizes) <= 4 and documents.select(F.explode("players")).count() == 3_003
+    found = q.capture_scan(spark, str(tmp_path))
+    assert found.count() == 3_001 and found.agg(F.sum("n")).first()[0] == 3_001
