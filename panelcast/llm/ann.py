@@ -7,14 +7,16 @@ coordinate, so that the smallest angle is the largest inner product, whatever th
 
 For the descent, arrays of strings alone are cut by their first bits into cells that are sorted and searched by themselves; large cells are
 cut further into blocks, each of which meets the queries of its cell. A query whose own cells hold too little ascends
-past their borders, up to whole trees. For the ascent each vector is dealt once, to a block that holds its part of every tree, so no tree
-carries a copy of the vectors; every block gives each query the nearest of the entries that its trees hold at the common level,
-scored once each in double precision. Equal vectors share one entry.
+past their borders, up to whole trees. For the ascent each vector is dealt once, to one of a fixed number of blocks that holds its part of
+every tree, so no tree carries a copy of the vectors; every block gives each query the nearest of the entries that its trees hold at the
+common level, scored once each in double precision. A block holds its queries with their nearest so far, and its vectors go past
+them in bounded pieces, so that it gives each query one short list however many vectors there are. Equal vectors share one entry.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import fsum
 
 import numpy as np
@@ -32,12 +34,15 @@ SHARE = 1.4
 #: And so many candidates more for each neighbour asked for: in small tables this is all there is.
 PER_NEIGHBOUR = 200
 BLOCK, QUERY_BLOCK = 50_000, 4_000
-#: Blocks that vectors are dealt to at least for the ascent, where they hold as many entries as a cell: a task each.
-LEAST_BLOCKS = 24
-#: Queries that a block of vectors meets at a time.
+#: Blocks that vectors are dealt to for the ascent, whatever their number: a query gets so many lists of its nearest.
+BLOCKS = 24
+#: Queries that a block holds at a time; beyond so many in all, vectors are dealt once for each such chunk.
+HELD_QUERIES = 250_000
+#: Queries that a piece of a block's vectors meets at a time.
 QUERY_SLICE = 512
 
 
+@lru_cache(maxsize=2 * TREES)
 def planes(tree: int, dim: int, bits: int = BITS) -> np.ndarray:
     """Projections of a tree, orthogonal to each other in runs of `dim`."""
     rng, out = np.random.default_rng(1_000 + tree), []
@@ -209,12 +214,13 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     level = materialise(enough, "levels")
 
     # ascent: every tree gives the entries at the common level. Vectors are dealt once, in blocks by hash; the trees' strings
-    # follow from a vector, so a block's part of every tree is sorted where the block lies
-    parts = max(-(-n // BLOCK), min(LEAST_BLOCKS, -(-n // cell)), 1)
-    base = index.select(F.pmod(F.xxhash64("vec"), F.lit(parts)).cast("int").alias("block"), F.octet_length("vec").alias("width"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("qid"), F.lit(None).cast("int").alias("level"), "ids", "vec")
-    asked_at = questions.join(level, "qid").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"), F.octet_length("vec").alias("width"), F.lit(1).alias("role"), "qid", F.col("level"), F.lit(None).cast("array<long>").alias("ids"), "vec")
+    # follow from a vector, so a block's part of every tree is sorted where the block lies. The number of blocks is fixed, so the
+    # lists that a query gets are too
+    chunks = max(1, -(-questions.count() // HELD_QUERIES))
+    base = index.select(F.pmod(F.xxhash64("vec"), F.lit(BLOCKS)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.octet_length("vec").alias("width"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("qid"), F.lit(None).cast("int").alias("level"), "ids", "vec")
+    asked_at = questions.join(level, "qid").select(F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"), F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int").alias("chunk"), F.octet_length("vec").alias("width"), F.lit(-1).alias("role"), "qid", F.col("level"), F.lit(None).cast("array<long>").alias("ids"), "vec")
     nearest = lambda batches: _ascend(batches, trees, longest, k)
-    both = base.union(asked_at).repartition("block", "width").sortWithinPartitions("block", "width", "role")
+    both = base.union(asked_at).repartition("block", "chunk", "width").sortWithinPartitions("block", "chunk", "width", "role")
     hits = materialise(both.mapInArrow(nearest, "query_id long, vec_id long, score double"), "hits")
 
     have = hits.groupBy("query_id").agg(F.count_distinct("vec_id").alias("have"))
@@ -236,20 +242,21 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Block:
-    """A block's vectors with every tree's part of them: its strings in order and the entry of each."""
+    """A piece of a block's vectors with every tree's part of them: its strings in order and the entry of each."""
 
-    def __init__(self, table: pa.Table, trees: int, longest: float):
-        self.x, self.ids = _matrix(table.column("vec")), table.column("ids").to_pylist()
+    def __init__(self, parts: list[pa.RecordBatch], trees: int, longest: float):
+        self.x = np.concatenate([_matrix(p.column("vec")) for p in parts])
+        self.ids = [i for p in parts for i in p.column("ids").to_pylist()]
         self.lists: list[tuple[np.ndarray, np.ndarray]] = []
         for tree in range(trees):
             s = np.concatenate([strings(lift(self.x[at : at + 2_000], longest), tree) for at in range(0, len(self.x), 2_000)])
             order = np.argsort(s, kind="stable")
             self.lists.append((s[order], order.astype(np.int32)))
 
-    def answer(self, part: pa.RecordBatch, k: int) -> pa.RecordBatch:
-        """The k nearest of the block for each query, among the entries that any tree holds below the query's level."""
-        q, depth = _matrix(part.column("vec")), part.column("level").to_numpy().astype(np.uint64)
-        qid = part.column("qid").to_numpy()
+    def answer(self, q: np.ndarray, qid: np.ndarray, level: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest of the piece for each query, among the entries that any tree holds below the query's level: the query's
+        place, id and score."""
+        depth = level.astype(np.uint64)
         lifted = np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
         ranges = []
         full, whole = np.uint64(0xFFFFFFFFFFFFFFFF), depth == 0
@@ -257,43 +264,92 @@ class _Block:
         for tree, (array, _) in enumerate(self.lists):
             low = strings(lifted, tree) & keep
             ranges.append((np.searchsorted(array, low, "left"), np.searchsorted(array, low | ~keep, "right")))
-        out_q, out_id, out_s = [], [], []
+        out_q, out_id, out_s, place = [], [], [], []
         for i in range(len(q)):
             met = np.zeros(len(self.x), bool)
             for (a, b), (_, order) in zip(ranges, self.lists):
                 met[order[a[i] : b[i]]] = True
             at = np.flatnonzero(met)
             if len(at):
-                # where most are met, a product over the whole block costs less than a copy of those met
+                # where most are met, a product over the whole piece costs less than a copy of those met
                 rough = (self.x @ q[i])[at] if 2 * len(at) > len(self.x) else self.x[at] @ q[i]
                 _take_nearest(self.x, self.ids, q[i], qid[i], k, out_q, out_id, out_s, rough, at)
-        return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+            place += [i] * (len(out_q) - len(place))
+        return np.asarray(place, np.int64), np.asarray(out_id, np.int64), np.asarray(out_s, np.float64)
+
+
+class _Asked:
+    """The queries of a block in one chunk, with the k nearest of each from the pieces that have gone past."""
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int):
+        self.q = np.concatenate([_matrix(p.column("vec")) for p in parts])
+        self.qid = np.concatenate([p.column("qid").to_numpy() for p in parts])
+        self.level = np.concatenate([p.column("level").to_numpy() for p in parts])
+        self.k = k
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * -(-len(self.q) // QUERY_SLICE)
+
+    def meet(self, piece: _Block) -> None:
+        for n, held in enumerate(self.found):
+            own = slice(n * QUERY_SLICE, (n + 1) * QUERY_SLICE)
+            new = piece.answer(self.q[own], self.qid[own], self.level[own], self.k)
+            self.found[n] = new if held is None else _nearest_of([held, new], self.k)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for n, held in enumerate(self.found):
+            if held is not None and len(held[0]):
+                place, ids, scores = held
+                yield pa.RecordBatch.from_arrays([pa.array(self.qid[n * QUERY_SLICE + place]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+
+def _nearest_of(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first different ids of each place by falling score, ties to the smaller id."""
+    place, ids, scores = (np.concatenate(x) for x in zip(*lists))
+    order = np.lexsort((-scores, ids, place))  # of an id with several vectors the best counts
+    same = (np.diff(place[order]) == 0) & (np.diff(ids[order]) == 0)
+    order = order[np.concatenate([[True], ~same])] if len(order) else order
+    order = order[np.lexsort((ids[order], -scores[order], place[order]))]
+    first = np.searchsorted(place[order], place[order], "left")
+    order = order[np.arange(len(order)) - first < k]
+    return place[order], ids[order], scores[order]
 
 
 def _ascend(batches: Iterator[pa.RecordBatch], trees: int, longest: float, k: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of one width each, vectors first: these are held, and their queries stream past in slices."""
-    held: list[pa.RecordBatch] = []
-    block, last = None, None
+    """Blocks of one chunk and width each, queries first: these are held, and the vectors go past in pieces."""
+    last, asked, held, size = None, [], [], 0
+    queries: _Asked | None = None
+
+    def meet() -> None:
+        nonlocal held, size, queries, asked
+        if held and (asked or queries):
+            if queries is None:
+                queries, asked = _Asked(asked, k), []
+            queries.meet(_Block(held, trees, longest))
+        held, size = [], 0
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "width"))))
-        roles = batch.column("role").to_numpy()
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "chunk", "width", "role"))))
         at = 0
         for i in range(1, len(keys) + 1):
-            if i < len(keys) and keys[i] == keys[at] and roles[i] == roles[at]:
+            if i < len(keys) and keys[i] == keys[at]:
                 continue
-            if keys[at] != last:
-                held, block, last = [], None, keys[at]
-            part = batch.slice(at, i - at)
-            if roles[at] == 0:
-                held.append(part.select(["ids", "vec"]))
-            elif held or block is not None:
-                if block is None:
-                    block, held = _Block(pa.Table.from_batches(held), trees, longest), []
-                for first in range(0, part.num_rows, QUERY_SLICE):
-                    yield block.answer(part.slice(first, QUERY_SLICE), k)
+            if keys[at][:3] != last:
+                meet()
+                if queries is not None:
+                    yield from queries.rows()
+                last, asked, queries = keys[at][:3], [], None
+            if keys[at][3] < 0:
+                asked.append(batch.slice(at, i - at).select(["qid", "level", "vec"]))
+            elif asked or queries:
+                held.append(batch.slice(at, i - at).select(["ids", "vec"]))
+                size += i - at
+                if size >= BLOCK:
+                    meet()
             at = i
+    meet()
+    if queries is not None:
+        yield from queries.rows()
 
 
 def _take_nearest(x: np.ndarray, ids: list, q: np.ndarray, qid: int, k: int, out_q: list, out_id: list, out_s: list, rough: np.ndarray, at: np.ndarray | None = None) -> None:

@@ -135,6 +135,33 @@ def test_a_vector_is_dealt_once_however_many_trees_and_queries(spark, monkeypatc
     assert len(got) == 100 and [d.count() for d in dealt] == [2_000]
 
 
+def test_lists_of_a_query_do_not_grow_in_number_with_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(8).astype("f4").tolist()) for i in range(2_400)]
+    written, plain = [], ann.materialise
+
+    def kept(df, label):
+        out = plain(df, label)
+        if label == "hits":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "materialise", kept)
+    for n in (1_200, 2_400):
+        assert run(spark, rows[:n], rows[:n:20], cell=100, share=30.0) == exact(rows[:n], rows[:n:20])
+    assert written[1] <= 2.1 * written[0]
+    # vectors past their queries in pieces, and queries in chunks, give the same and no more
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "HELD_QUERIES", 50)
+    monkeypatch.setattr(ann, "QUERY_SLICE", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert run(spark, rows, rows[::20], cell=100, share=30.0) == exact(rows, rows[::20])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert written[2] == written[1]
+
+
 def test_the_ascent_gives_what_the_trees_hold_at_the_common_level(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.standard_normal(12).astype("f4").tolist()) for i in range(1_500)]
