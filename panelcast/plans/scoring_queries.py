@@ -89,7 +89,8 @@ SELECT {KEYS_SQL}, {", ".join(f"round(CAST({t} AS DOUBLE), 5) AS {t}" for t in s
 def combine_terms(spark, sf):
     d = line_panel(spark, sf)
     rates = card_rates(d)
-    f = d.join(rates, "position", "left").select(
+    # a row per position: a join by shuffle would bring all lines of a position to one task
+    f = d.join(F.broadcast(rates), "position", "left").select(
         *LINE_KEYS, "position", "yellow", "red", *[F.expr(e).cast("double").alias(n) for n, e in COMBINE_IN.items()])
     terms = s.combine({n: F.col(n) for n in ("position", *COMBINE_IN)}, F.col("yellow"), F.col("red"))
     return f.select(*LINE_KEYS, *[F.round(c, 5).alias(n) for n, c in terms.items()])

@@ -49,3 +49,18 @@ def test_unknown_inputs_stay_unknown(spark):
     n = F.lit(None).cast("double")
     row = spark.range(1).select(s.poisson_step(n), s.unit(n), s.reconcile(n, F.lit(0.5)), s.availability_ceiling(n, F.lit(50.0)), margin_factor(n)).first()
     assert tuple(row) == (None,) * 5
+
+
+def test_card_rates_reach_the_lines_without_a_shuffle_of_lines(spark, tmp_path):
+    from panelcast.plans.scoring_queries import combine_terms
+
+    rows = [(o, o % 6, o % 3, n, 10.0 + n) for o in range(40) for n in range(1, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = combine_terms(spark, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
