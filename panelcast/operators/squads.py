@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.scoring import chip_key
+from panelcast.session import materialise
 
 # Fixed values. Legal line-ups: one keeper, 3-5 defenders, 2-5 midfielders, 1-3 forwards, ten outfielders.
 SHAPES = [(d, m, 10 - d - m) for d in range(3, 6) for m in range(2, 6) if 1 <= 10 - d - m <= 3]
@@ -260,7 +261,8 @@ def import_teams(managers: DataFrame, picks: DataFrame, history: DataFrame, chip
     """
     late = F.raise_error(F.concat(F.lit("no squad yet for manager "), F.col("manager").cast("string"))).cast("int")
     held_by = squad_period(chips, managers).withColumn("squad_period", F.when(F.col("last_period") < F.col("started"), late).otherwise(F.col("squad_period")))
-    held = picks.join(held_by.select("manager", "squad_period"), "manager").where(F.col("period") == F.col("squad_period"))
+    # read by the prices and the squads; written, so that the documents behind the picks are read once
+    held = materialise(picks.join(held_by.select("manager", "squad_period"), "manager").where(F.col("period") == F.col("squad_period")), "held")
     paid = purchase_prices(held.select("manager", "entity"), transfers, chips, first_prices, prices, held_by)
     squads = held.join(paid, ["manager", "entity"]).groupBy("manager").agg(
         F.array_sort(F.collect_list(F.struct("slot", "entity", "buy_price"))).alias("picks"), F.max("bank").alias("bank"))

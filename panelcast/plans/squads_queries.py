@@ -139,16 +139,18 @@ def season_ledger(spark, sf):
     return sq.season_ledger(h, chips, managers.select("manager", "last_period"))
 
 
-def squad_documents(spark, sf):
+def squad_documents(tr):
     """A nested document per manager and period: what was bought then, the captain first."""
-    tr, *_ = import_frames(spark, sf)
-    w = Window.partitionBy("manager", "period").orderBy("entity")
-    p = tr.select("manager", "period", F.col("element_in").alias("entity")).distinct().withColumn("slot", F.row_number().over(w))
-    pick = F.struct(F.col("entity").alias("element"), F.col("slot").alias("position"), F.when(F.col("slot") == 1, 2).otherwise(1).alias("multiplier"),
-                    (F.col("slot") == 1).alias("is_captain"), (F.col("slot") == 2).alias("is_vice_captain"))
+    bought = tr.groupBy("manager", "period").agg(F.array_sort(F.collect_set(F.struct("element_in"))).alias("bought"))
+
+    def pick(p, i):
+        slot = i + 1
+        return F.struct(p["element_in"].alias("element"), slot.alias("position"), F.when(slot == 1, 2).otherwise(1).alias("multiplier"),
+                        (slot == 1).alias("is_captain"), (slot == 2).alias("is_vice_captain"))
+
     bank = ((F.col("manager") * 7 + F.col("period")) % 50).cast("bigint")
     none = F.array().cast("array<struct<element_in:bigint,element_out:bigint>>")
-    return p.groupBy("manager", "period").agg(F.collect_list(pick).alias("picks")).select(
+    return bought.withColumn("picks", F.transform("bought", pick)).select(
         "manager", "period", F.lit(None).cast("string").alias("active_chip"), "picks", none.alias("automatic_subs"),
         F.struct(F.lit(0).cast("bigint").alias("points"), F.lit(0).cast("bigint").alias("points_on_bench"), F.lit(0).cast("bigint").alias("event_transfers_cost"), bank.alias("bank")).alias("entry_history"))
 
@@ -169,7 +171,7 @@ def team_import(spark, sf):
     """Every manager's team, bank, chips and ledger in one row, from nested documents."""
     tr, managers, chips, _, first, prices = import_frames(spark, sf)
     path = scratch_path(spark, "picks")
-    squad_documents(spark, sf).write.json(path)
+    squad_documents(tr).write.json(path)
     picks = sq.picks_of(spark.read.schema(sq.PICKS_SCHEMA).json(path))
     history = tr.groupBy("manager", "period").agg(F.count("*").alias("transfers"), F.sum("cost").alias("value")).withColumn("hit", F.lit(0))
     t = sq.import_teams(managers, picks, history, chips, tr, first, prices)
