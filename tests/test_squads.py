@@ -144,3 +144,14 @@ def test_a_purchase_price_pairs_no_pick_with_every_later_price(spark):
     assert {tuple(r) for r in out.collect()} == {(1, 7, 103), (1, 8, 50), (1, 9, 90), (1, 10, 95), (2, 7, 40), (3, 7, 0)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "min_by" not in plan and plan.count("max_by") == 1
+
+
+def test_squad_documents_are_numbered_in_one_grouping(spark):
+    from panelcast.plans.squads_queries import squad_documents
+
+    tr = spark.createDataFrame([(1, 4, 9), (1, 4, 3), (1, 4, 9), (1, 4, None), (1, 5, 2), (2, 4, 7)], "manager long, period int, element_in long")
+    out = squad_documents(tr)
+    got = {(r["manager"], r["period"]): [(p["element"], p["position"], p["multiplier"], p["is_captain"], p["is_vice_captain"]) for p in r["picks"]] for r in out.collect()}
+    assert got == {(1, 4): [(None, 1, 2, True, False), (3, 2, 1, False, True), (9, 3, 1, False, False)],
+                   (1, 5): [(2, 1, 2, True, False)], (2, 4): [(7, 1, 2, True, False)]}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
