@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators.ranks import add_rank
@@ -47,6 +47,29 @@ def spearman(df: DataFrame, by: Sequence[str], actual: str = ACTUAL, pred: str =
     )
 
 
+def spearman_each(df: DataFrame, by: Sequence[str], preds: Sequence[str], actual: str = ACTUAL, least: int = 3) -> DataFrame:
+    """`spearman` of several predictions of the same rows, as `rho_{prediction}`.
+
+    Rows are shuffled by group once and sorted once for the actual and once per prediction. A prediction counts where it is
+    known, so the actual's rank among its rows follows from counts of them up to the value and at the value.
+    """
+    by = list(by)
+    rows = df.where(F.col(actual).isNotNull()).select(*by, actual, *preds)
+    upto, equal = Window.partitionBy(*by).orderBy(actual), Window.partitionBy(*by, actual)
+    rows = rows.withColumns({f"__ra_{p}": F.count(p).over(upto) for p in preds})
+    ties = {p: F.count(p).over(equal) for p in preds}
+    rows = rows.withColumns({f"__ra_{p}": F.when(F.col(p).isNotNull(), F.col(f"__ra_{p}") - (ties[p] - 1) / 2.0) for p in preds})
+    for p in preds:
+        rows = add_rank(rows, by, p, f"__rp_{p}", "average")
+
+    def rho(p: str) -> Column:
+        a, b = f"__ra_{p}", f"__rp_{p}"
+        varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+        return F.when((F.count(p) >= least) & varied, _guarded_corr(a, b)).alias(f"rho_{p}")
+
+    return rows.groupBy(*by).agg(*[rho(p) for p in preds])
+
+
 def spearman_by_position(df: DataFrame, by: Sequence[str], position: str = "position", actual: str = ACTUAL,
                          pred: str = PRED, name: str = "rho_by_position", strategy: str = "direct") -> DataFrame:
     """Within-position rank correlation, weighted by position size; positions without one count nowhere."""

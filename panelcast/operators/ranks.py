@@ -27,9 +27,11 @@ def add_rank(
 
 def _direct(df, by, value, name, method, descending):
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(order)).cast("double")
+    window = Window.partitionBy(*by).orderBy(order)
+    rank = F.rank().over(window).cast("double")
     if method == "average":
-        rank = rank + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+        # The frame of an ordered window ends with the last row of equal value, so both come from one pass.
+        rank = (rank + F.count("*").over(window)) / 2.0
     return df.withColumn(name, F.when(F.col(value).isNotNull(), rank))
 
 

@@ -23,11 +23,14 @@ def lead_time_predictions(rows: DataFrame, points: str, first: int = 6, season:
     sums = mp.moments(rows, by, position).earlier(season)
     overall = materialise(mp.overall_of(sums, by), "overall")
     table, lines = mp.table_of(sums, by, position), mp.lines_of(sums, by, position)
-    rates = mp.prior_rates(rows, keys, period, points)
-    out = mp.lead_targets(rows, rates, keys, period, first=first).join(overall.select(season), season, "left_semi")
+    tested = rows.join(overall.select(season), season, "left_semi")
+    out = mp.lead_targets(tested, mp.prior_rates(tested, keys, period, points), keys, period, first=first)
     gap = "gap"
     if ratings is not None:
-        out, gap = mp.with_gap_then(out, ratings, deadlines, season, period=period), "gap_then"
+        # The sides to look up come from the starts, so the targets are made once.
+        meetings = tested.select(season, period, "side", "opponent").distinct()
+        asked = meetings.withColumn("as_of", F.explode(F.array(*[F.col(period) - lead for lead in mp.LEADS])))
+        out, gap = mp.with_gap_then(out, ratings, deadlines, season, period=period, asked=asked), "gap_then"
     out = mp.apply_table(out, table, overall, by, position, name="__table")
     out = mp.apply_line(out, lines, overall, by, position, gap=gap, name="__line")
     out = out.join(overall, by)

@@ -10,6 +10,7 @@ from panelcast.plans.panels import (
     LOG_SQL, PLAY, PLAY_SQL, POSITION_SQL, log_panel, play_panel, position_of, with_sql,
 )
 from panelcast.plans.registry import query, table
+from panelcast.session import materialise
 
 
 def rnd(df, names, digits=6):
@@ -292,28 +293,32 @@ LEAD_SQL = "WITH " + RATED_SQL + RATED_PRIOR_SQL + FIT_BY_SEASON.replace("rate *
 
 
 def rating_days(spark, sf):
-    """Ratings by nation and day, and the first day of every period."""
+    """Ratings by nation and day, and the first day of every period. Both are few rows and read more than once, so they are written."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     nations = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     history = orders.join(nations, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("side"), F.to_date("o_orderdate").alias("valid_from")).agg(
         (1400 + F.sum("o_orderkey") % 401).cast("double").alias("rating"))
     days = orders.groupBy(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("period")).agg(F.to_date(F.min("o_orderdate")).alias("deadline"))
-    return history, days
+    return materialise(history, "history"), materialise(days, "days")
 
 
-def rated_starts(spark, sf):
-    """The starts with both sides and the rating gap at their own period's deadline."""
+def rated_starts(spark, sf, known=None):
+    """The starts with both sides and the rating gap at their own period's deadline; `known` takes `rating_days` made before.
+
+    Gaps, means and rows all read the joined lines, so these are written once.
+    """
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
     nations, makers = table(spark, sf, "customer").select("c_custkey", "c_nationkey"), table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    d = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(nations, F.col("o_custkey") == F.col("c_custkey")).join(makers, F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = orders.join(nations, F.col("o_custkey") == F.col("c_custkey"))
+    d = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(makers, F.col("l_suppkey") == F.col("s_suppkey"))
     d = d.select(
         F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("period"), F.col("l_suppkey").alias("entity"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event"), position_of("l_suppkey").alias("position"),
         F.expr("(l_orderkey * 7 + l_partkey) % 91").alias("minutes"), F.expr("cast(l_quantity as bigint) % 13").alias("points"),
         F.expr("cast(l_partkey % 5 + 1 as int)").alias("level"), F.col("s_nationkey").alias("side"), F.col("c_nationkey").alias("opponent"), F.expr("l_partkey % 2 = 0").alias("is_home"))
-    d = pn.starters(d, positions=("GK", "DEF", "MID", "FWD")).drop("minutes")
-    history, days = rating_days(spark, sf)
+    d = materialise(pn.starters(d, positions=("GK", "DEF", "MID", "FWD")).drop("minutes"), "played")
+    history, days = known or rating_days(spark, sf)
     d = mp.with_gap_then(d, history, days, as_of="period", period="period", name="gap")
     return mp.season_ratio(d, ["season", "entity"], "points")
 
@@ -322,7 +327,7 @@ def lead_predictions(spark, sf):
     from panelcast.plans.lead_time import lead_time_predictions
 
     history, days = rating_days(spark, sf)
-    return lead_time_predictions(rated_starts(spark, sf), "points", first=6, ratings=history, deadlines=days)
+    return lead_time_predictions(rated_starts(spark, sf, (history, days)), "points", first=6, ratings=history, deadlines=days)
 
 
 @query("lead_time_predictions", LEAD_SQL + """
@@ -401,5 +406,5 @@ def side_ticker(spark, sf):
     home, away = F.when(F.col("is_home"), F.col("side")).otherwise(F.col("opponent")), F.when(F.col("is_home"), F.col("opponent")).otherwise(F.col("side"))
     ev = play_panel(spark, sf).select("season", "period", "event", home.alias("home"), away.alias("away")).distinct()
     history, days = rating_days(spark, sf)
-    out = mp.fitted_ticker(ev, mp.moments(rated_starts(spark, sf), ["season"]).earlier(), history, days)
+    out = mp.fitted_ticker(ev, mp.moments(rated_starts(spark, sf, (history, days)), ["season"]).earlier(), history, days)
     return rnd(out, ["kindness"], 4)
