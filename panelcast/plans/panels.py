@@ -188,11 +188,13 @@ ev AS (SELECT event_id, ts, user_id, event_type, value, props, CAST(month(ts) AS
               CAST(day(ts) AS INTEGER) AS day FROM events)"""
 
 
-def match_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as matches; `seq` orders the matches of a day inside their league."""
+def match_panel(spark: SparkSession, sf: str, of_order: DataFrame | None = None) -> DataFrame:
+    """Order lines as matches; `seq` orders the matches of a day inside their league. `of_order` has more columns by o_orderkey."""
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    more = [] if of_order is None else [c for c in of_order.columns if c != "o_orderkey"]
+    orders = orders if of_order is None else orders.join(of_order, "o_orderkey")
     cust = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     supp = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
@@ -208,7 +210,7 @@ def match_panel(spark: SparkSession, sf: str) -> DataFrame:
             F.col("s_nationkey").alias("home"), F.col("c_nationkey").alias("away"),
             F.expr("cast(l_quantity as bigint) % 5").alias("home_goals"), (F.col("l_linenumber") % 4).alias("away_goals"),
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), *more,
         )
     )
 

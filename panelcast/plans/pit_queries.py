@@ -10,7 +10,7 @@ from panelcast.operators.metrics import brier
 from panelcast.plans.metrics_queries import rnd
 from panelcast.plans.panels import MATCH_ORDER, MATCH_SQL, ORD, ORD_SQL, PLAY, PLAY_SQL, match_panel, ord_panel, play_panel, with_sql
 from panelcast.plans.registry import query, table
-from panelcast.session import materialise
+from panelcast.session import drop_written, materialise
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEYS_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -266,9 +266,18 @@ def season_turnover_ratings(spark, sf):
 
 
 def customer_leagues(spark, sf):
-    """Matches with their customer as the league."""
-    buyers = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("league"))
-    return match_panel(spark, sf).drop("league").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    """Matches with their customer as the league. An order's customers come with its lines, so matches are not joined to orders again."""
+    buyers = table(spark, sf, "orders").groupBy("o_orderkey").agg(F.collect_list(F.struct(F.col("o_custkey").cast("bigint").alias("league"))).alias("buyers"))
+    matches = match_panel(spark, sf, buyers).withColumn("buyer", F.explode("buyers"))
+    return matches.select(F.col("buyer.league").alias("league"), "season", "date", "home", "away", "home_goals", "away_goals", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents")
+
+
+def customer_history(spark, sf):
+    """The ratings of customer leagues, written; the matches they come from are not kept beside them."""
+    matches = materialise(customer_leagues(spark, sf), "matches")
+    history = materialise(elo.rating_history(elo.replay(matches, MATCH_ORDER)), "history")
+    drop_written(matches)
+    return history
 
 
 @query("panel_rating_gap", with_sql(MATCH_SQL, """
@@ -280,8 +289,8 @@ g2 AS (SELECT g1.*, h.rating AS rb FROM g1 ASOF LEFT JOIN hist h ON g1.entity =
 SELECT season, entity, event, round(ra - rb + CASE WHEN is_home THEN 45 ELSE -45 END, 4) AS rating_gap FROM g2""")
 def panel_rating_gap(spark, sf):
     """A league per customer, as many as there are; a row's gap comes from its own customer's league."""
-    history = elo.rating_history(elo.replay(materialise(customer_leagues(spark, sf), "matches"), MATCH_ORDER))
-    out = elo.attach_gap_column(play_panel(spark, sf).withColumn("league", F.col("entity").cast("bigint")), PLAY, materialise(history, "history"))
+    history = customer_history(spark, sf)
+    out = elo.attach_gap_column(play_panel(spark, sf).withColumn("league", F.col("entity").cast("bigint")), PLAY, history)
     return rnd(out.select("season", "entity", "event", "rating_gap"), ["rating_gap"], 4)
 
 
@@ -299,7 +308,7 @@ def rated_dataset(spark, sf):
     from panelcast.operators.features import FeaturePlan
     from panelcast.operators.pipeline import build_dataset
 
-    history = materialise(elo.rating_history(elo.replay(materialise(customer_leagues(spark, sf), "matches"), MATCH_ORDER)), "history")
+    history = customer_history(spark, sf)
     panel = play_panel(spark, sf).withColumn("league", F.col("entity").cast("bigint"))
     plan = FeaturePlan(outcomes=("minutes", "starts", "points", "goals", "involvement"), target="points", side_stats={"goals_for": ("shared", "goals_for")},
                        static=("period", "rating_gap"), role_flags={"first_choice": "is_first_choice"}, banned=("xp",), windows=(3,))

@@ -70,3 +70,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a folder that this library has written."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_written(df) -> None:
+    """Removes the folder of a frame that `materialise` returned; nothing may read it any more."""
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        drop_path(df.sparkSession, folder)
