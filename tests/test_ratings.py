@@ -129,3 +129,52 @@ def test_replayed_batches_keep_nulls_and_stand_alone_without_a_league():
     # a match without goals counts as drawn
     assert [(r["season"], r["side"]) for r in out if r["league"] == 7 and r["kind"] == "rating" and r["date"] == day] == [(2020, 1), (2020, 2)]
     assert [r["result"] for r in out if r["kind"] == "match"] == [1.0, 1.0, 0.5]
+
+
+def test_customer_leagues_are_matches_joined_to_all_orders_of_their_key(spark, tmp_path):
+    from panelcast.plans import pit_queries as pit
+
+    rows = {
+        "orders": ([(1, 7), (1, 7), (1, 8), (2, 8), (3, None), (3, 7), (4, 9), (None, 7)], "o_orderkey bigint, o_custkey bigint"),
+        "customer": ([(7, 1), (8, 2), (8, 3), (9, None)], "c_custkey bigint, c_nationkey int"), "supplier": ([(5, 1), (6, 4)], "s_suppkey bigint, s_nationkey int"),
+        "nation": ([(n, n % 2) for n in range(5)], "n_nationkey int, n_regionkey int"),
+        "lineitem": ([(o, 11, s, n, 3.0 + n, 9.5, datetime.datetime(1999, 1, 1 + n)) for o in (1, 1, 2, 3, 4, None) for s in (5, 6) for n in (1, 2)],
+                     "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = pit.customer_leagues(spark, str(tmp_path))
+    buyers = spark.read.parquet(str(tmp_path / "orders.parquet")).select("o_orderkey", F.col("o_custkey").alias("league"))
+    want = match_panel(spark, str(tmp_path)).drop("league").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(*got.columns)
+    a, b = (sorted(map(str, d.collect())) for d in (got, want))
+    assert a == b and len(a) > 20 and any("league=None" in x for x in a)
+    # The lines meet the orders once; the rest of the orders' columns has met them before.
+    assert sum("Join" in x and "l_orderkey" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+
+
+def test_the_matches_of_customer_ratings_are_not_kept(spark, sf, monkeypatch):
+    import os
+
+    from panelcast.plans import pit_queries as pit
+
+    made = {}
+    real = pit.materialise
+    monkeypatch.setattr(pit, "materialise", lambda df, label: made.setdefault(label, real(df, label)))
+    history = pit.customer_history(spark, sf)
+    assert set(made) == {"matches", "history"} and history.count() > 0
+    gone = made["matches"]._jdf.inputFiles()
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in gone)
+
+
+def test_the_rating_stream_stores_ratings_only(spark, sf, monkeypatch):
+    from panelcast.plans import io_queries as io
+
+    real, stored = io.updates_in_turn, []
+
+    def kept(*args):
+        path = real(*args)
+        stored.append({r["kind"] for r in spark.read.parquet(path).select("kind").distinct().collect()})
+        return path
+
+    monkeypatch.setattr(io, "updates_in_turn", kept)
+    assert io.rating_stream(spark, sf).count() > 0 and stored == [{"rating"}]
